@@ -39,6 +39,8 @@ TEMPLATES = [
     ("cc-by-sa", ["cc by sa"], "licensed under cc by sa 4 0"),
     ("apache-2.0", ["apache license version 2 0"], "licensed under the apache license version 2 0"),
 ]
+# Words that say nothing about a licence.
+COMMON = {"all", "an", "are", "as", "can", "for", "form", "have", "if", "into", "it", "one", "or", "should", "was", "your"}
 RARE_WORDS, SLACK, THRESHOLD = 8, 4, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,7 +50,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased
 def build_index(templates=TEMPLATES, rare: int = RARE_WORDS):
     """Postings {word: [(template number, position, idf)]} and each template's total IDF.
 
-    Words of more than a quarter of the templates are no evidence and stay out.
+    Common words and those of more than a quarter of the templates are no evidence and stay out.
     """
     texts = [t[2].split() for t in templates]
     df: dict[str, int] = {}
@@ -59,7 +61,7 @@ def build_index(templates=TEMPLATES, rare: int = RARE_WORDS):
     totals = []
     for k, words in enumerate(texts):
         first = {w: i for i, w in reversed(list(enumerate(words)))}
-        chosen = sorted((w for w in first if df[w] <= len(texts) / 4), key=lambda w: (df[w], w))[:rare]
+        chosen = sorted((w for w in first if df[w] <= len(texts) / 4 and w not in COMMON), key=lambda w: (df[w], w))[:rare]
         idf = {w: math.log(1 + len(texts) / df[w]) for w in chosen}
         for w in chosen:
             for i, x in enumerate(words):

@@ -1,8 +1,9 @@
 """One query for each operator of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, langid, licenses, mixing, quality, sharding
+from . import bpe, langid, licenses, mixing, quality, sharding, substring
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1,
     "op2_mix_sources": mixing.op2,
     "op4_byte_bpe": bpe.op4,
     "op5_quality_rules": quality.op5,
