@@ -1,6 +1,6 @@
 """One query for each operator of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, langid, licenses, mixing, quality, sharding, substring
+from . import bpe, jaccard, langid, licenses, mixing, quality, sharding, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4,
     "op5_quality_rules": quality.op5,
     "op7_shards": sharding.op7,
+    "op8_jaccard_join": jaccard.op8,
     "op9_language_id": langid.op9,
     "op10_license_scan": licenses.op10,
 }
