@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -116,19 +118,28 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe, self.split, self.kept = PrefixBPE(ranks), regex.compile(pattern).findall, {}
 
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
+    def _piece(self, piece: str) -> tuple[int, bytes, bytes, bytes]:
         ids = self.bpe.encode_piece(piece.encode("utf-8"))
         if len(self.kept) >= KEEP_PIECES:
             self.kept.clear()
-        found = self.kept[piece] = (len(ids), " ".join(map(str, ids)).encode(), self.bpe.decode(ids))
+        found = self.kept[piece] = (len(ids), " ".join(map(str, ids)).encode(), self.bpe.decode(ids), array("i", ids).tobytes())
         return found
 
-    def pieces(self, text: str) -> list[tuple[int, bytes, bytes]]:
+    def pieces(self, text: str) -> list[tuple[int, bytes, bytes, bytes]]:
         kept, new = self.kept, self._piece
         return [kept.get(p) or new(p) for p in self.split(text)]
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for _, s, _ in self.pieces(text) for i in s.split()]
+        return [int(i) for _, s, _, _ in self.pieces(text) for i in s.split()]
+
+
+def _parts(edges: np.ndarray, most: int = 1 << 24):
+    """Ranges of texts with about ``most`` ids at most, one text at least."""
+    i, n = 0, len(edges) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -152,10 +163,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text",
                 shas.append(hashlib.sha256(joined).hexdigest())
                 backs.append(hashlib.sha256(b"".join([p[2] for p in found])).hexdigest())
                 if with_ids:
-                    ids.append([int(i) for i in joined.split()])
+                    ids.append(b"".join([p[3] for p in found]))
             out = {key: batch.column(0), "n_tokens": pa.array(n, pa.int64())}
             if with_ids:
-                out["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                edges = np.cumsum([0, *n])
+                for a, b in _parts(edges):  # a batch holds fewer ids than a list's offsets can count
+                    flat = pa.array(np.frombuffer(b"".join(ids[a:b]), np.int32))
+                    part = {"ids": pa.ListArray.from_arrays(pa.array((edges[a : b + 1] - edges[a]).astype(np.int32)), flat)}
+                    rest = {"ids_sha256": pa.array(shas[a:b], pa.string()), "decoded_sha256": pa.array(backs[a:b], pa.string())}
+                    yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(a, b - a), "n_tokens": pa.array(n[a:b], pa.int64())} | part | rest)
+                continue
             yield pa.RecordBatch.from_pydict(out | {"ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(backs, pa.string())})
 
     schema = f"{key} {kind}, n_tokens long{', ids array<int>' if with_ids else ''}, ids_sha256 string, decoded_sha256 string"
