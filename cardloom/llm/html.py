@@ -40,19 +40,16 @@ GROUP_OF = {"p": "p", "li": "li", "dd": "li", "dt": "li", "a": "a", "div": "div"
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "tokens", "parts", "own", "text", "links", "tags", "stops")
+    __slots__ = ("tag", "up", "kids", "tokens", "at")
 
-    def __init__(self, tag, up, tokens):
-        self.tag, self.up, self.kids, self.tokens = tag, up, [], tokens
-        self.parts = []  # (order, block number, text) of own text
-        self.own = self.text = self.links = self.tags = self.stops = 0
+    def __init__(self, tag, up, tokens, at=-1):
+        self.tag, self.up, self.kids, self.tokens, self.at = tag, up, [], tokens, at
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     """Elements in document order, the first being the root, and pieces of text (node number, block number, text)."""
-    root = Node("html", None, ())
+    root = Node("html", None, (), 0)
     nodes, stack, pieces = [root], [root], []
-    number = {id(root): 0}
     block, at, skip = 0, 0, None
     low = None
     n = len(page)
@@ -61,9 +58,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if a < b and skip is None:
             s = page[a:b]
             if not s.isspace():
-                pieces.append((number[id(stack[-1])], block, s))
+                pieces.append((stack[-1].at, block, s))
             elif pieces and pieces[-1][1] == block:
-                pieces.append((number[id(stack[-1])], block, " "))
+                pieces.append((stack[-1].at, block, " "))
 
     def shut(k):
         nonlocal block
@@ -107,7 +104,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             if tag == "hr":
                 block += 1
             elif tag == "br" and pieces:
-                pieces.append((number[id(stack[-1])], block, " "))
+                pieces.append((stack[-1].at, block, " "))
             continue
         if tag in ("html", "body"):
             block += 1
@@ -150,72 +147,79 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
                 continue
             skip = node
             stack.append(node)
-            number[id(node)] = -1
             continue
         if tag in BLOCK:
             block += 1
         stack[-1].kids.append(node)
-        number[id(node)] = len(nodes)
+        node.at = len(nodes)
         nodes.append(node)
         if not attrs.rstrip().endswith("/") or tag not in VOID:
             stack.append(node)
     return nodes, pieces
 
 
-FEATURES = len(TAG_GROUPS) + 22
+def _traits(tag: str, tokens: tuple[str, ...]) -> tuple:
+    """What an element says by itself: tag group, tokens against and for, and six flags."""
+    g = GROUP_OF.get(tag, "other")
+    bad, good = sum(t in AGAINST for t in tokens), sum(t in FOR for t in tokens)
+    flags = (g == "nav", tag in ("aside", "footer"), tag == "header", g == "form", g == "main", any(t in COMMENTS for t in tokens))
+    return TAG_GROUPS.index(g), bad, good, sum(1 << k for k, hit in enumerate(flags) if hit), tag == "a", tag.startswith("h") and tag[1:].isdigit()
+
+
+_TRAITS: dict[tuple, tuple] = {}
 
 
 def features(nodes: list[Node], pieces: list[tuple[int, int, str]]) -> np.ndarray:
     """One row for each node."""
     n = len(nodes)
-    index = {id(x): i for i, x in enumerate(nodes)}
-    parent = np.array([index[id(x.up)] if x.up is not None else -1 for x in nodes])
-    own, stops, linked = np.zeros(n), np.zeros(n), np.zeros(n)
-    inside_a = np.zeros(n, bool)
-    depth, against, for_, flags = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, 6))
-    groups = np.zeros((n, len(TAG_GROUPS)))
+    own, stops, linked = [0] * n, [0] * n, [0] * n
+    inside_a, depth, against, for_, flags, group, heading, parent = [False] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [False] * n, [0] * n
+    like, order, kids = [0.0] * n, [0.0] * n, [0] * n
     for i, x in enumerate(nodes):
-        g = GROUP_OF.get(x.tag, "other")
-        groups[i, TAG_GROUPS.index(g)] = 1
-        bad, good = sum(t in AGAINST for t in x.tokens), sum(t in FOR for t in x.tokens)
-        p = parent[i]
-        if p >= 0:
-            depth[i], flags[i], inside_a[i] = depth[p] + 1, flags[p], inside_a[p]
-            against[i], for_[i] = against[p], for_[p]
-        against[i] += bad
-        for_[i] += good
-        inside_a[i] |= x.tag == "a"
-        for k, hit in enumerate((g == "nav", x.tag in ("aside", "footer"), x.tag == "header", g == "form", g == "main", any(t in COMMENTS for t in x.tokens))):
-            if hit:
-                flags[i, k] = 1
+        own_traits = (x.tag, x.tokens)
+        found = _TRAITS.get(own_traits)
+        if found is None:
+            if len(_TRAITS) > 100_000:
+                _TRAITS.clear()
+            found = _TRAITS[own_traits] = _traits(*own_traits)
+        group[i], bad, good, flag, link, heading[i] = found
+        if i:
+            p = parent[i] = x.up.at
+            depth[i], inside_a[i] = depth[p] + 1, inside_a[p] or link
+            against[i], for_[i], flags[i] = against[p] + bad, for_[p] + good, flags[p] | flag
+        else:
+            against[0], for_[0], flags[0] = bad, good, flag
+        if x.kids:
+            m = kids[i] = len(x.kids)
+            count: dict[str, int] = {}
+            for k in x.kids:
+                count[k.tag] = count.get(k.tag, 0) + 1
+            for at, k in enumerate(x.kids):
+                like[k.at], order[k.at] = count[k.tag] / m, at / m
     for i, _, s in pieces:
         own[i] += len(s)
         stops[i] += s.count(".") + s.count(",") + s.count("!") + s.count("?")
         if inside_a[i]:
             linked[i] += len(s)
-    text, links, tags, marks = own.copy(), linked.copy(), np.ones(n), stops.copy()
+    text, links, tags, marks = own[:], linked[:], [1] * n, stops[:]
     for i in range(n - 1, 0, -1):  # children stand after their parents
         p = parent[i]
         text[p] += text[i]
         links[p] += links[i]
         tags[p] += tags[i]
         marks[p] += marks[i]
-    kids = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
-    p = np.maximum(parent, 0)
+    out = np.zeros((n, len(TAG_GROUPS) + 23), np.float32)
+    out[np.arange(n), group] = 1
+    own, text, links, tags, marks, kids = (np.array(c, np.float64) for c in (own, text, links, tags, marks, kids))
+    p = np.array(parent)
     sibling_text = (text[p] - own[p]) / np.maximum(1, kids[p])
-    like = np.zeros(n)
-    order = np.zeros(n)
-    for x in nodes:
-        count: dict[str, int] = {}
-        for k in x.kids:
-            count[k.tag] = count.get(k.tag, 0) + 1
-        for at, k in enumerate(x.kids):
-            like[index[id(k)]] = count[k.tag] / len(x.kids)
-            order[index[id(k)]] = at / len(x.kids)
-    total = max(1.0, text[0])
-    log = np.log1p
-    rest = [depth, against, for_, *flags.T, log(own), log(text), links / np.maximum(1, text), log(tags), text / tags, marks / np.maximum(1, text) * 100, text / total, log(kids), log(sibling_text), text / np.maximum(1, sibling_text), like, order, np.array([x.tag.startswith("h") and x.tag[1:].isdigit() for x in nodes], float)]
-    return np.column_stack([groups, *rest]).astype(np.float32)
+    log, some = np.log1p, np.maximum(1, text)
+    rest = out[:, len(TAG_GROUPS) :]
+    rest[:, :3] = np.array([depth, against, for_]).T
+    rest[:, 3:9] = (np.array(flags)[:, None] >> np.arange(6)) & 1
+    for k, c in enumerate((log(own), log(text), links / some, log(tags), text / tags, marks / some * 100, text / some[0], log(kids), log(sibling_text), text / np.maximum(1, sibling_text), like, order, heading)):
+        rest[:, 9 + k] = c
+    return out
 
 
 # ---------------------------------------------------------------- boosted trees
@@ -376,10 +380,9 @@ def train(pages: int = 240, seed: int = 7) -> Trees:
         # the mark becomes a tag name of its own, which says where main text is, and is taken back before features are made
         marked = re.sub(r"<(article|main|div|section)([^<>]*) data-main>", r'<\1\2 role="qqmain">', page)
         nodes, pieces = parse(marked)
-        index = {id(x): i for i, x in enumerate(nodes)}
         y = np.zeros(len(nodes), bool)
         for i, x in enumerate(nodes):
-            up = index[id(x.up)] if x.up is not None else -1
+            up = x.up.at if x.up is not None else -1
             if "qqmain" in x.tokens:
                 y[i] = True
                 x.tokens = tuple(t for t in x.tokens if t != "qqmain")
@@ -396,23 +399,31 @@ def train(pages: int = 240, seed: int = 7) -> Trees:
 def decode(nodes: list[Node], pieces: list[tuple[int, int, str]], odds: np.ndarray) -> np.ndarray:
     """True for nodes whose own text is kept: the best choice of whole subtrees."""
     n = len(nodes)
-    weight = np.full(n, 1.0)
+    weight = [1] * n
     for i, _, s in pieces:
-        weight[i] += len(s.strip())
-    gain = np.clip(odds, -6, 6) * np.log1p(weight)
-    index = {id(x): i for i, x in enumerate(nodes)}
-    keep, best, choice = gain.copy(), np.zeros(n), np.zeros(n, np.int8)
+        weight[i] += len(s)
+    gain = (np.clip(odds, -6, 6) * np.log1p(weight)).tolist()
+    keep, best, choice = gain[:], [0.0] * n, [0] * n
+    below, each = [0.0] * n, [0.0] * n  # sums over the children
     for i in range(n - 1, -1, -1):
-        kids = [index[id(k)] for k in nodes[i].kids]
-        keep[i] = gain[i] + sum(keep[k] for k in kids)
+        keep[i] += below[i]
         # dropped as a whole: 0; kept as a whole: keep; left to the children, own text dropped: their best, at a price
-        each = sum(best[k] for k in kids) - 0.5
-        best[i], choice[i] = max((0.0, 0), (keep[i], 1), (each, 2))
-    state = np.zeros(n, np.int8)
-    for i in range(n):
-        p = index[id(nodes[i].up)] if nodes[i].up is not None else -1
-        state[i] = state[p] if p >= 0 and state[p] != 2 else choice[i]
-    return state == 1
+        top, which = 0.0, 0
+        if keep[i] > top:
+            top, which = keep[i], 1
+        if each[i] - 0.5 > top:
+            top, which = each[i] - 0.5, 2
+        best[i], choice[i] = top, which
+        if i:
+            p = nodes[i].up.at
+            below[p] += keep[i]
+            each[p] += top
+    state = choice[:]
+    for i in range(1, n):
+        above = state[nodes[i].up.at]
+        if above != 2:
+            state[i] = above
+    return np.array(state) == 1
 
 
 def main_text(nodes, pieces, odds) -> str:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, workspace, written
 
-DEGREE, REVERSE, ROUNDS, PROJECTIONS, BLOCK = 16, 16, 3, 4, 48
-POOL, STEPS, WANTED, ENTRIES, SEED = 64, 8, 10, 64, 11
+DEGREE, REVERSE, ROUNDS, PROJECTIONS, BLOCK = 24, 24, 2, 3, 64
+POOL, STEPS, WANTED, ENTRIES, SEED = 144, 8, 10, 64, 11
 
 
 def valid(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -135,7 +135,7 @@ class Graph:
         for _ in range(ROUNDS):
             self.descend()
         both = self.edges.select("a", "b").unionByName(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        self.steps_out = self._write(both.join(self.nodes.select(F.col("node").alias("b"), "vec"), "b").select("a", "b", "vec"))
+        self.steps_out = self._write(both)
         return self
 
     def search(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
@@ -157,9 +157,9 @@ class Graph:
             fresh = pool.where(~F.col("done"))
             if fresh.isEmpty():
                 break
-            met = fresh.select("q", F.col("node").alias("a")).join(self.steps_out, "a").select("q", F.col("b").alias("node"), "vec")
-            met = met.dropDuplicates(["q", "node"]).join(pool.select("q", "node"), ["q", "node"], "left_anti")
-            met = met.join(queries, "q").select("q", "node", distance.alias("d"), F.lit(False).alias("done"))
+            met = fresh.select("q", F.col("node").alias("a")).join(self.steps_out, "a").select("q", F.col("b").alias("node")).distinct()
+            met = met.join(pool.select("q", "node"), ["q", "node"], "left_anti")
+            met = met.join(self.nodes, "node").join(queries, "q").select("q", "node", distance.alias("d"), F.lit(False).alias("done"))
             pool = pool.withColumn("done", F.lit(True)).unionByName(met)
             pool = self._write(pool.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= POOL).drop("_n"))
         found = pool.join(self.members, "node").where(F.col("id") != F.col("q"))
