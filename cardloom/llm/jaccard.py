@@ -12,8 +12,8 @@ Sets of shingles are held as sorted 64-bit hashes. A class is all documents with
 3. Long lists. Each round compares a list's sets with one hub. By the triangle inequality of Jaccard distance a set
    within the threshold of the hub (its ball) links with none further than twice the threshold distance. Sets in
    between (its ring) are answered incrementally from what is known about the hub: |x & z| follows from the
-   differences x - h, h - x, z - h, h - z alone. The ball then leaves the list. Lists that don't shrink in ROUNDS
-   rounds give their remaining pairs as in 2.
+   differences x - h, h - x, z - h, h - z alone. The ball then leaves the list, and ring members need no more
+   comparisons with each other. What is left after ROUNDS rounds gives its remaining pairs as in 2.
 
 Sets are sent to comparisons only, once for each hub or partner; hot hubs are salted.
 """
@@ -31,7 +31,7 @@ from .components import components
 from .shared import U, Words, mix, pack, release, runs, shuffle_partitions, slices, text_buffers, unpack, workspace, written
 
 SHINGLE, THRESHOLD = 4, 85  # words; per cent
-HOT, ROUNDS, FLUSH = 32, 5, 1 << 20
+HOT, ROUNDS, FLUSH = 32, 8, 1 << 20
 BLOCK = 2000  # sets that are compared with one hub in one task
 
 
@@ -439,27 +439,37 @@ class JaccardJoin:
     # ------------------------------------------------------------ 3. long lists
 
     def long_lists(self, entries: DataFrame, sets: DataFrame) -> list[DataFrame]:
+        """Links that the lists of hot tokens give; entries (token, sid, n, pri).
+
+        A round compares each list with one hub. The ball is done with; the ring is answered within itself and with the
+        ball, and marked with the hub. A list is done when all that is left of it bears one mark. Hubs are chosen among
+        sets without a mark first.
+        """
         found = []
+        entries = entries.withColumn("mark", F.lit(None).cast("long"))
         for k in range(ROUNDS + 1):
-            hubs = entries.groupBy("token").agg(F.max(F.struct("pri", "sid", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("token", "hub.sid", "hub.n")
-            hubs = hubs.select("token", F.col("sid").alias("hub"), F.col("n").alias("nh"))
-            open_ = entries.join(hubs, "token")
+            hubs = entries.groupBy("token").agg(F.max(F.struct(F.col("mark").isNull().alias("fresh"), "pri", "sid", "n")).alias("hub"), F.count("*").alias("size"), F.count_if(F.col("mark").isNull()).alias("fresh"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+            hubs = hubs.where("size > 1 and (fresh > 0 or low <> high)").select("token", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("nh"))
             last = k == ROUNDS
-            if last:  # what doesn't shrink: all pairs, as in short lists
-                other = entries.select("token", F.col("sid").alias("hub"), F.col("n").alias("nh"))
-                open_ = entries.join(other, "token").where(F.col("sid") < F.col("hub"))
+            if last:  # what is left after all rounds: all pairs that no hub has answered, as in short lists
+                rest = entries.join(hubs.select("token"), "token", "left_semi")
+                other = rest.select("token", F.col("sid").alias("hub"), F.col("n").alias("nh"), F.col("mark").alias("_mark"))
+                open_ = rest.join(other, "token").where((F.col("sid") < F.col("hub")) & ~F.coalesce(F.col("mark") == F.col("_mark"), F.lit(False)))
+            else:
+                hubs = self._write(hubs)
+                open_ = entries.join(hubs, "token")
             fits = F.expr(f"100 * least(n, nh) >= {THRESHOLD if last else 70} * greatest(n, nh)")
             met = self.compared(open_.where((F.col("sid") != F.col("hub")) & fits).select("hub", "sid").distinct(), sets, not last)
-            if met.isEmpty():
-                break
             linked = met.where(f"100 * inter >= {THRESHOLD} * (nh + n - inter)")
             found.append(linked.select(F.col("hub").alias("a"), F.col("sid").alias("b")))
             if last:
                 break
             found.append(self._write(self.rings(met)))
-            # hub and ball leave the hub's lists
-            gone = hubs.join(linked.select("hub", "sid"), "hub").select("token", "sid").unionByName(hubs.select("token", F.col("hub").alias("sid")))
-            entries = self._write(entries.join(hubs.select("token"), "token", "left_semi").join(gone, ["token", "sid"], "left_anti"))
+            near = met.where("more is not null").select("hub", "sid", F.expr(f"100 * inter >= {THRESHOLD} * (nh + n - inter)").alias("ball"))
+            left = entries.join(hubs.select("token", "hub"), "token").where("sid <> hub").join(near, ["hub", "sid"], "left").where("not coalesce(ball, false)")
+            entries = self._write(left.select("token", "sid", "n", "pri", F.when(F.col("ball").isNotNull(), F.col("hub")).otherwise(F.col("mark")).alias("mark")))
+            if entries.isEmpty():
+                break
         return found
 
     def links(self) -> tuple[DataFrame, DataFrame]:
