@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character ranges of Japanese script, and tokens that a wrong decoding leaves.
 CJK = r"぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
@@ -17,7 +18,7 @@ PALETTE = ["#FF6B6B", "#4D96FF", "#6BCB77", "#FFD93D", "#9D4EDD", "#FF9F1C", "#2
 DEFAULT_GROUP_COLOR = "#4D96FF"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
