@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from array import array
 
 import numpy as np
@@ -39,7 +40,9 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
+        self.reach: dict[bytes, int] = {}  # the longest token by its last three bytes (or all of a shorter one)
+        for token in ranks:
+            self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 0))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
 
@@ -76,8 +79,9 @@ class PrefixBPE:
     def extend(self, piece: bytes, last: list[int], start: int = 0) -> list[int]:
         """The table of piece, given that last[:start] is right for its first start bytes."""
         del last[start:]
-        ranks, longest = self.ranks, self.longest
+        ranks, reach = self.ranks, self.reach
         for end in range(start + 1, len(piece) + 1):
+            longest = reach.get(piece[max(0, end - 3) : end], 2)
             for begin in range(max(0, end - longest), end):
                 token = ranks.get(piece[begin:end])
                 if token is None or not self._stands(token):
@@ -133,6 +137,16 @@ class TextCodec:
         return [int(i) for _, s, _, _ in self.pieces(text) for i in s.split()]
 
 
+_CODEC: dict[str, TextCodec] = {}  # of a Python worker: the codec of the last run, with the pieces it has met
+
+
+def _codec(run_id: str, ranks: dict[bytes, int], pattern: str) -> TextCodec:
+    if run_id not in _CODEC:
+        _CODEC.clear()
+        _CODEC[run_id] = TextCodec(ranks, pattern)
+    return _CODEC[run_id]
+
+
 def _parts(edges: np.ndarray, most: int = 1 << 24):
     """Ranges of texts with about ``most`` ids at most, one text at least."""
     i, n = 0, len(edges) - 1
@@ -150,10 +164,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text",
     left out. The vocabulary is read by the driver and sent with the task (under 1 MB for 50,000 tokens).
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kind = docs.schema[key].dataType.simpleString()
+    kind, run_id = docs.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches):
-        codec = TextCodec(ranks.value, pattern)
+        codec = _codec(run_id, ranks.value, pattern)
         for batch in batches:
             n, ids, shas, backs = [], [], [], []
             for text in batch.column(1):
