@@ -8,8 +8,8 @@ before: shortages are met by siblings first and by ancestors after. Budgets are
 A leaf reads its documents in seeded orders, one for each epoch, and takes the first tokens up to its budget: every
 document once for each full epoch, and the last epoch's prefix, whose last document may be cut.
 
-Sums over documents are made before anything is ordered. An order's running sums come from sums of hash ranges (4096
-for each leaf), so a leaf that holds a third of all rows is still dealt over many tasks.
+Sums over documents are made before anything is ordered. An order's running sums come from sums of hash ranges (256 for
+each leaf, and 256 in each of them), so a leaf that holds a third of all rows is still dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -92,10 +92,13 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int =
     key = ["domain", "_language", "_leaf"]
     df = df.join(given, key, "left").fillna(0, ["_full", "_rest"])
     df = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary")))
-    df = df.withColumn("_bin", F.substring("_hash", 1, 3))
-    bins = df.groupBy(*key, "_bin").agg(F.sum("n_tokens").alias("_in"))
-    w = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows a leaf at most
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_in").over(w), F.lit(0))).drop("_in")
+    df = df.withColumn("_bin", F.substring("_hash", 1, 4))
+    running = lambda keys, by: F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = df.groupBy(*key, "_bin").agg(F.sum("n_tokens").alias("_in")).withColumn("_top", F.substring("_bin", 1, 2))
+    tops = bins.groupBy(*key, "_top").agg(F.sum("_in").alias("_in"))
+    tops = tops.select(*key, "_top", running(key, "_top").alias("_start"))  # 256 rows a leaf at most
+    bins = bins.withColumn("_before", running([*key, "_top"], "_bin")).join(tops, [*key, "_top"])  # and as many a range
+    bins = bins.select(*key, "_bin", (F.col("_before") + F.col("_start")).alias("_before"))
     within = Window.partitionBy(*key, "_bin").orderBy("_hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     df = df.join(bins, [*key, "_bin"])
     df = df.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
