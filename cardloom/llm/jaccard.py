@@ -10,16 +10,25 @@ Sets of shingles are held as sorted 64-bit hashes. A class is all documents with
    positions rule it out, or if it shares fewer than l prefix tokens over all its lists (if it shares a hot token, the
    long lists answer for it).
 3. Long lists. Each round compares a list's sets with one hub. By the triangle inequality of Jaccard distance a set
-   within the threshold of the hub (its ball) links with none further than twice the threshold distance. Sets in
-   between (its ring) are answered incrementally from what is known about the hub: |x & z| follows from the
+   within the threshold of the hub (its ball) links with none further than twice the threshold distance. Sets that
+   are further, but share much with the hub (its ring, RING per cent and more), are answered incrementally from what is known about the hub: |x & z| follows from the
    differences x - h, h - x, z - h, h - z alone. The ball then leaves the list, and ring members need no more
-   comparisons with each other. What is left after ROUNDS rounds gives its remaining pairs as in 2.
+   comparisons with each other.
+4. Combinations. What is left after ROUNDS rounds are sets of the same common passages in other mixes. Tokens that
+   the same sets hold make a group, so a set is a few weighted groups. Of groups in one order, from rare to common,
+   a set's prefix of level r is the shortest that weighs more than the set may lose even if its r - 1 heaviest groups
+   are shared: sets that link share r groups of both prefixes. Lists of combinations of r groups are short where lists
+   of tokens are long. A set's own level is the highest with MOST combinations or fewer; a pair meets at the lower one
+   of its two levels.
 
 Sets are sent to comparisons only, once for each hub or partner; hot hubs are salted.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
 import uuid
 
 import numpy as np
@@ -33,6 +42,8 @@ from .shared import U, Words, mix, pack, release, runs, shuffle_partitions, slic
 SHINGLE, THRESHOLD = 4, 85  # words; per cent
 HOT, ROUNDS, FLUSH = 32, 8, 1 << 20
 BLOCK = 2000  # sets that are compared with one hub in one task
+RING = 40  # per cent: sets as similar to a hub as this are answered from their differences to it
+LEVEL, MOST = 5, 128  # groups in a combination, and combinations of a set's own level, at most
 
 
 def least_overlap(n):
@@ -238,8 +249,8 @@ class JaccardJoin:
         release(self.spark)
         return self.spark.table(name)
 
-    def lists(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs from short lists (a, b) and the entries of long ones (token, sid, n, pri)."""
+    def _by_token(self, sets: DataFrame, out, schema: str) -> DataFrame:
+        """out(tokens and sids of a bucket) for each bucket of tokens; sets: sid, n, tokens."""
         buckets = self.buckets
 
         def scan(batches):
@@ -251,6 +262,13 @@ class JaccardJoin:
                 bucket, blobs = _blobs(_bucket(token, buckets), token, sid[own])
                 yield _record(bucket=pa.array(bucket.astype(np.int32)), blob=pa.array(blobs, pa.binary()), mark=pa.nulls(len(blobs), pa.int64()))
 
+        flat = sets.select("sid", "n", "tokens").mapInArrow(scan, "bucket int, blob binary, mark long")
+        return _by_bucket(flat, buckets, ("<u8", "<u8"), out, schema)
+
+    def lists(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs from short lists (a, b) and the entries of long ones (token, sid, n, pri)."""
+        buckets = self.buckets
+
         def hot(cols, marks):
             token, sid = cols
             order = np.lexsort((sid, token))
@@ -269,8 +287,7 @@ class JaccardJoin:
                 end = np.append(start[1:], len(own))
                 yield _record(sid=pa.array(own[start].view(np.int64)), hot=pa.array([pack(t[i:j], level[i:j]) for i, j in zip(start, end, strict=True)], pa.binary()))
 
-        flat = sets.select("sid", "n", "tokens").mapInArrow(scan, "bucket int, blob binary, mark long")
-        common = self._write(_by_bucket(flat, buckets, ("<u8", "<u8"), hot, "sid long, hot binary"))
+        common = self._write(self._by_token(sets, hot, "sid long, hot binary"))
         by_set = common.groupBy("sid").agg(F.collect_list("hot").alias("hot"))  # a list for each bucket at most
         both = sets.join(by_set.hint("shuffle_hash"), "sid", "left").select("sid", "n", "tokens", "hot", "shared")
 
@@ -363,7 +380,7 @@ class JaccardJoin:
                     place[place == len(h)] = 0
                     same = h[place] == mine if len(h) else np.zeros(len(mine), bool)
                     inter = int(same.sum())
-                    near = differences and 100 * inter >= 70 * (len(h) + len(mine) - inter)
+                    near = differences and 100 * inter >= RING * (len(h) + len(mine) - inter)
                     missing = np.ones(len(h), bool)
                     missing[place[same]] = False
                     for o, v in zip(out, (hub, sid, len(h), len(mine), inter, mine[~same].tobytes() if near else None, h[missing].tobytes() if near else None), strict=True):
@@ -372,6 +389,9 @@ class JaccardJoin:
 
         return self._write(rows.mapInArrow(run, "hub long, sid long, nh int, n int, inter int, more binary, less binary"))
 
+    def _linked(self, met: DataFrame) -> DataFrame:
+        return met.where(f"100 * inter >= {THRESHOLD} * (nh + n - inter)").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+
     def rings(self, met: DataFrame) -> DataFrame:
         """Links (a, b) between the sets near one hub, from their differences to it; met: what compared() gave."""
         near = met.where("more is not null").withColumn("ball", F.expr(f"100 * inter >= {THRESHOLD} * (nh + n - inter)"))
@@ -389,13 +409,19 @@ class JaccardJoin:
             if not askers or not targets:
                 return
             ids, n = np.array([t[1] for t in targets], np.int64), np.array([t[3] for t in targets], np.int64)
-            nh, ball = targets[0][2], np.array([t[6] for t in targets])
+            nh, ball, every = targets[0][2], np.array([t[6] for t in targets]), np.arange(len(targets))
             sides = []
             for at in (4, 5):
                 arrays = [np.frombuffer(t[at], U) for t in targets]
                 token, own = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
                 order = np.argsort(token, kind="stable")
-                sides.append((token[order], own[order]))
+                token, own = token[order], own[order]
+                start = np.flatnonzero(runs(token)) if len(token) else np.zeros(0, np.int64)
+                size = np.diff(np.append(start, len(token)))
+                usual = 2 * size > len(ids)  # of differences that most targets have, those without are listed instead
+                without = {int(token[i]): np.setdiff1d(every, own[i : i + m]) for i, m in zip(start[usual], size[usual], strict=True)}
+                few = ~np.repeat(usual, size)
+                sides.append((token[few], own[few], without))
             gone = np.array([len(t[5]) // 8 for t in targets], np.int64)
             joined: dict[int, int] = {}
 
@@ -407,8 +433,11 @@ class JaccardJoin:
             a, b = [], []
             for z in askers:
                 inter = nh - gone - len(z[5]) // 8
-                for (token, own), at in zip(sides, (4, 5), strict=True):
+                for (token, own, without), at in zip(sides, (4, 5), strict=True):
                     mine = np.frombuffer(z[at], U)
+                    lacking = [without[t] for t in mine.tolist() if t in without] if without else []
+                    if lacking:
+                        inter = inter + len(lacking) - np.bincount(np.concatenate(lacking), minlength=len(ids))
                     lo, hi = np.searchsorted(token, mine), np.searchsorted(token, mine, side="right")
                     spans_ = [own[i:j] for i, j in zip(lo, hi, strict=True) if j > i]
                     if spans_:
@@ -450,20 +479,14 @@ class JaccardJoin:
         for k in range(ROUNDS + 1):
             hubs = entries.groupBy("token").agg(F.max(F.struct(F.col("mark").isNull().alias("fresh"), "pri", "sid", "n")).alias("hub"), F.count("*").alias("size"), F.count_if(F.col("mark").isNull()).alias("fresh"), F.min("mark").alias("low"), F.max("mark").alias("high"))
             hubs = hubs.where("size > 1 and (fresh > 0 or low <> high)").select("token", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("nh"))
-            last = k == ROUNDS
-            if last:  # what is left after all rounds: all pairs that no hub has answered, as in short lists
-                rest = entries.join(hubs.select("token"), "token", "left_semi")
-                other = rest.select("token", F.col("sid").alias("hub"), F.col("n").alias("nh"), F.col("mark").alias("_mark"))
-                open_ = rest.join(other, "token").where((F.col("sid") < F.col("hub")) & ~F.coalesce(F.col("mark") == F.col("_mark"), F.lit(False)))
-            else:
-                hubs = self._write(hubs)
-                open_ = entries.join(hubs, "token")
-            fits = F.expr(f"100 * least(n, nh) >= {THRESHOLD if last else 70} * greatest(n, nh)")
-            met = self.compared(open_.where((F.col("sid") != F.col("hub")) & fits).select("hub", "sid").distinct(), sets, not last)
-            linked = met.where(f"100 * inter >= {THRESHOLD} * (nh + n - inter)")
-            found.append(linked.select(F.col("hub").alias("a"), F.col("sid").alias("b")))
-            if last:
+            if k == ROUNDS:
+                rest = entries.join(hubs.select("token"), "token", "left_semi").select("sid").distinct()
+                found.append(self._linked(self.compared(self.combined(rest, sets), sets, False)))
                 break
+            hubs = self._write(hubs)
+            fits = F.expr(f"100 * least(n, nh) >= {RING} * greatest(n, nh)")
+            met = self.compared(entries.join(hubs, "token").where((F.col("sid") != F.col("hub")) & fits).select("hub", "sid").distinct(), sets, True)
+            found.append(self._linked(met))
             found.append(self._write(self.rings(met)))
             near = met.where("more is not null").select("hub", "sid", F.expr(f"100 * inter >= {THRESHOLD} * (nh + n - inter)").alias("ball"))
             left = entries.join(hubs.select("token", "hub"), "token").where("sid <> hub").join(near, ["hub", "sid"], "left").where("not coalesce(ball, false)")
@@ -472,13 +495,107 @@ class JaccardJoin:
                 break
         return found
 
+    # ------------------------------------------------------------ 4. combinations
+
+    def combined(self, sids: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (hub, sid) among the sets sids, all those that link among them; see 4 above."""
+        buckets = self.buckets
+
+        def group(cols, marks):
+            token, sid = cols
+            order = np.lexsort((sid, token))
+            token, sid = token[order], sid[order]
+            new = runs(token, sid)
+            token, sid = token[new], sid[new]
+            start = np.flatnonzero(runs(token))
+            end = np.append(start[1:], len(token))
+            sums = np.zeros(len(token) + 1, U)
+            np.cumsum(mix(sid ^ U(0x2545F4914F6CDD1D)), out=sums[1:])
+            size = end - start
+            name = np.repeat(mix(sums[end] - sums[start] + size.astype(U) * U(0x9E3779B97F4A7C15)), size)
+            held = np.repeat(size, size).astype(np.uint32)
+            order = np.lexsort((name, sid))
+            sid, name, held = sid[order], name[order], held[order]
+            start = np.flatnonzero(runs(sid, name)) if len(sid) else np.zeros(0, np.int64)
+            weight = np.diff(np.append(start, len(sid))).astype(np.uint32)
+            sid, name, held = sid[start], name[start], held[start]
+            start = np.flatnonzero(runs(sid)) if len(sid) else np.zeros(0, np.int64)
+            end = np.append(start[1:], len(sid))
+            yield _record(sid=pa.array(sid[start].view(np.int64)), part=pa.array([pack(name[i:j], held[i:j], weight[i:j]) for i, j in zip(start, end, strict=True)], pa.binary()))
+
+        mine = self._write(sets.join(sids, "sid", "left_semi").select("sid", "n", "tokens"))
+        parts = self._by_token(mine, group, "sid long, part binary").groupBy("sid").agg(F.collect_list("part").alias("parts"))  # one for each bucket at most
+
+        def prefix(weight, r, loss):
+            """Length of the shortest prefix that weighs more than loss without its r - 1 heaviest; None if there is none."""
+            heaviest, rest = [], 0
+            for k, w in enumerate(weight):
+                heapq.heappush(heaviest, w)
+                if len(heaviest) >= r:
+                    rest += heapq.heappop(heaviest)
+                if rest > loss:
+                    return k + 1
+            return None
+
+        def keys(batches):
+            chosen = {}  # few, as MOST bounds them
+            for b in batches:
+                cols = [[np.zeros(0, t)] for t in (U, U, np.uint32, np.uint8)]
+                for sid, n, blobs in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                    name, held, weight = (np.concatenate(c) for c in zip(*[unpack(x, "<u8", "<u4", "<u4") for x in blobs], strict=True))
+                    order = np.argsort(name, kind="stable")
+                    start = np.flatnonzero(runs(name[order]))
+                    weight = np.add.reduceat(weight[order].astype(np.int64), start)
+                    name, held = name[order][start], held[order][start]
+                    order = np.lexsort((name, held))
+                    alone = int((held == 1).sum())
+                    loss = n - int(least_overlap(n)) - int(weight[held == 1].sum())
+                    name, weight = name[order][alone:], weight[order][alone:].tolist()
+                    levels = []
+                    for r in range(1, LEVEL + 1):
+                        p = prefix(weight, r, loss) if loss >= 0 else None
+                        if p is None or (r > 1 and math.comb(p, r) > MOST):
+                            break
+                        levels.append((r, p))
+                    for r, p in levels:
+                        if r == 1:
+                            at = np.arange(p).reshape(-1, 1)
+                        else:
+                            if (p, r) not in chosen:
+                                chosen[p, r] = np.array(list(itertools.combinations(range(p), r)), np.int64)
+                            at = chosen[p, r]
+                        key = np.full(len(at), r, U)
+                        for c in range(r):
+                            key = mix(key + name[at[:, c]])
+                        for have, x in zip(cols, (key, np.full(len(at), sid, np.int64).view(U), np.full(len(at), n, np.uint32), np.full(len(at), r == levels[-1][0], np.uint8)), strict=True):
+                            have.append(x)
+                cols = [np.concatenate(c) for c in cols]
+                bucket, blobs = _blobs(_bucket(cols[0], buckets), *cols)
+                yield _record(bucket=pa.array(bucket.astype(np.int32)), blob=pa.array(blobs, pa.binary()), mark=pa.nulls(len(blobs), pa.int64()))
+
+        def pairs(cols, marks):
+            key, sid, n, own = cols
+            order = np.lexsort((sid, n, key))
+            key, sid, n, own = key[order], sid[order].view(np.int64), n[order].astype(np.int64), own[order] > 0
+            i, d = np.arange(len(key)), 0
+            while len(i):  # partners d places on in the same list, while the sizes allow a link
+                d += 1
+                i = i[i + d < len(key)]
+                i = i[(key[i] == key[i + d]) & (100 * n[i] >= THRESHOLD * n[i + d])]
+                j = i + d
+                ok = (own[i] | own[j]) & (sid[i] != sid[j])
+                if ok.any():
+                    yield _record(hub=pa.array(np.minimum(sid[i[ok]], sid[j[ok]])), sid=pa.array(np.maximum(sid[i[ok]], sid[j[ok]])))
+
+        rows = mine.select("sid", "n").join(parts, "sid").select("sid", "n", "parts").mapInArrow(keys, "bucket int, blob binary, mark long")
+        return _by_bucket(rows, buckets, ("<u8", "<u8", "<u4", "u1"), pairs, "hub long, sid long").distinct()
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """documents (doc_id, n, sid), and links between classes (a, b) that join what belongs together."""
         own, left = self.sieve()
         sets = self.sets(left)
         direct, entries = self.lists(sets)
-        met = self.compared(direct.select(F.col("a").alias("hub"), F.col("b").alias("sid")), sets, False)
-        links = met.where(f"100 * inter >= {THRESHOLD} * (nh + n - inter)").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+        links = self._linked(self.compared(direct.select(F.col("a").alias("hub"), F.col("b").alias("sid")), sets, False))
         for more in self.long_lists(entries, sets):
             links = links.unionByName(more)
         return own, links
