@@ -9,7 +9,9 @@ they meet in groups with the same anchor. The index keeps groups, not windows:
   documents reaches a bucket once for each run.
 * The new runs are merge-joined bucket by bucket with the historical runs, which are immutable tables. A group whose
   content (64-bit hash under the same 64-bit anchor) was there before is a repeat as a whole. Groups that share an
-  anchor but differ in content may share some of their windows: they are contended.
+  anchor but differ in content may share some of their windows: they are contended. An anchor that had very many
+  contents in one run has its groups dealt by content and a mark in its own bucket; marks stay in the index, and when
+  such an anchor comes again, its earlier groups are contended from wherever they were dealt to.
 * Contended groups are verified window by window: the texts are read again, their windows' hashes go the same way
   (runs, buckets, first of each stays), and what isn't first is a repeat.
 * New groups become one more run of the index. When more than ``fanout`` runs have gathered they are compacted into
@@ -36,7 +38,7 @@ HOT = 64  # different contents of one anchor in a run, from which its rows are d
 LAST_ID = (1 << 63) - 1
 KINDS = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u2", "<u2")  # anchor, content, doc_id, rid, first window, windows - 1, batch
 SCHEMA = "kind int, bucket int, rid long, first int, last int, anchor long, blob binary"
-RUN, REPEAT, CONTENDED, MARK = 0, 1, 2, 3
+RUN, REPEAT, CONTENDED, MARK, OLD_MARK, DEALT, WOKEN = range(7)
 
 
 def anchors(g: np.ndarray, n: int) -> np.ndarray:
@@ -141,18 +143,26 @@ class _Runs:
         yield _rows(RUN, len(blobs), bucket=bucket[start], blob=blobs)
 
 
+def _away(cols, bucket: int, buckets: int) -> pa.RecordBatch:
+    """Where the groups of a bucket stand that were dealt to it from the bucket of their anchor."""
+    away = (mix(cols[0].copy()) % U(buckets)).astype(np.int64) != bucket
+    anchor, _, _, rid, first, more, _ = (c[away] for c in cols)
+    return _rows(DEALT, len(rid), rid=rid, first=first.astype(np.int32), last=more.astype(np.int32), anchor=anchor.view(np.int64))
+
+
 def _merged(table: DataFrame, history: DataFrame | None, buckets: int, batch: int, width: int, contend: bool) -> DataFrame:
     """The merge-join: new runs (and marks) against historical ones, bucket by bucket."""
     cols = ["bucket", "kind", "anchor", "blob"]
     rows = table.where(F.col("kind").isin(RUN, MARK)).select(*cols)
     if history is not None:
-        rows = rows.unionByName(history.select(*cols))
+        kind = F.when(F.col("kind") == MARK, OLD_MARK).otherwise(F.col("kind")).alias("kind")
+        rows = rows.unionByName(history.where(F.col("kind").isin(RUN, MARK)).select("bucket", kind, "anchor", "blob"))
     rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
-    def bucket_out(bucket, blobs, marks):
-        parts = [unpack(b, *KINDS) for b in blobs]
-        if not parts:
+    def bucket_out(bucket, blobs, marks, old):
+        if not (blobs or marks):
             return
+        parts = [unpack(b, *KINDS) for b in blobs] or [[np.zeros(0, k) for k in KINDS]]
         cols = _sort([np.concatenate(c) for c in zip(*parts, strict=True)])
         lead = runs(cols[0], cols[1])
         now = cols[6] == batch
@@ -164,23 +174,36 @@ def _merged(table: DataFrame, history: DataFrame | None, buckets: int, batch: in
         if contend:
             start = np.flatnonzero(runs(cols[0]))
             size = np.diff(np.append(start, len(cols[0])))
-            fresh = np.add.reduceat(now.astype(np.int64), start) > 0
-            marked = np.isin(cols[0][start], np.array(marks, np.int64).view(U)) if marks else np.zeros(len(start), bool)
-            open_ = np.repeat(((size > 1) | marked) & fresh, size)
+            marks, old = np.unique(np.array(marks, np.int64).view(U)), np.unique(np.array(old, np.int64).view(U))
+            anchor = cols[0][start]
+            # a mark of this batch stands for new groups that were dealt to other buckets
+            fresh = np.isin(anchor, marks)
+            if len(start):
+                fresh |= np.add.reduceat(now.astype(np.int64), start) > 0
+            open_ = np.repeat(((size > 1) | np.isin(anchor, marks) | np.isin(anchor, old)) & fresh, size)
             if open_.any():
                 yield _rows(CONTENDED, int(open_.sum()), rid=cols[3][open_], first=cols[4][open_].astype(np.int32), last=cols[5][open_].astype(np.int32), anchor=cols[0][open_].view(np.int64))
             if now.any():
-                yield _rows(RUN, 1, bucket=[bucket], blob=[pack(*[c[now] for c in cols])])
+                new = [c[now] for c in cols]
+                yield _rows(RUN, 1, bucket=[bucket], blob=[pack(*new)])
+                yield _away(new, bucket, buckets)
+            unmarked = np.setdiff1d(marks, old)
+            yield _rows(MARK, len(unmarked), bucket=np.full(len(unmarked), bucket), anchor=unmarked.view(np.int64))
+            woken = np.intersect1d(old, np.union1d(marks, anchor[fresh]))
+            yield _rows(WOKEN, len(woken), anchor=woken.view(np.int64))
 
     def run(batches):
-        bucket, blobs, marks = None, [], []
+        bucket, blobs, marks, old = None, [], [], []
         for batch_ in batches:
             for b, kind, anchor, blob in zip(*[batch_.column(i).to_pylist() for i in range(4)], strict=True):
                 if b != bucket:
-                    yield from bucket_out(bucket, blobs, marks)
-                    bucket, blobs, marks = b, [], []
-                blobs.append(blob) if kind == RUN else marks.append(anchor)
-        yield from bucket_out(bucket, blobs, marks)
+                    yield from bucket_out(bucket, blobs, marks, old)
+                    bucket, blobs, marks, old = b, [], [], []
+                if kind == RUN:
+                    blobs.append(blob)
+                else:
+                    (marks if kind == MARK else old).append(anchor)
+        yield from bucket_out(bucket, blobs, marks, old)
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -235,9 +258,15 @@ class SubstringIndex:
         for run in self.runs:
             history = run if history is None else history.unionByName(run)
         merged = self._write(_merged(made, history, buckets, batch, width, True))
-        self.runs.append(merged.where(F.col("kind") == RUN))
+        self.runs.append(merged.where(F.col("kind").isin(RUN, MARK, DEALT)))
         self.repeats += [x.where(F.col("kind") == REPEAT).select("rid", "first", "last") for x in (made, merged)]
         both = made.where(F.col("kind") == CONTENDED).unionByName(merged.where(F.col("kind") == CONTENDED)).select("rid", "first", "last", "anchor")
+        if history is not None:
+            # each woken anchor has HOT dealt groups or more, so a row for each part of them is no more than those
+            part = F.explode(F.sequence(F.lit(0), F.lit(HOT - 1))).alias("part")
+            woken = merged.where(F.col("kind") == WOKEN).select("anchor", part)
+            dealt = history.where(F.col("kind") == DEALT).withColumn("part", F.pmod(F.xxhash64("rid", "first"), F.lit(HOT)).cast("int"))
+            both = both.unionByName(dealt.join(woken, ["anchor", "part"]).select("rid", "first", "last", "anchor"))
         self.repeats.append(self._verified(both, texts, batch))
 
     def _verified(self, contended: DataFrame, texts: DataFrame, batch: int) -> DataFrame:
@@ -278,23 +307,28 @@ class SubstringIndex:
         every = self.runs[0]
         for run in self.runs[1:]:
             every = every.unionByName(run)
-        rows = every.select("bucket", "blob").repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
+        buckets = self.buckets
+        rows = every.where(F.col("kind").isin(RUN, MARK)).select("bucket", "blob", "anchor").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
-        def out(bucket, blobs):
+        def out(bucket, blobs, marks):
+            marks = np.unique(np.array(marks, np.int64))
+            yield _rows(MARK, len(marks), bucket=np.full(len(marks), bucket), anchor=marks)
             if blobs:
                 cols = _sort([np.concatenate(c) for c in zip(*[unpack(b, *KINDS) for b in blobs], strict=True)])
                 lead = runs(cols[0], cols[1])
-                yield _rows(RUN, 1, bucket=[bucket], blob=[pack(*[c[lead] for c in cols])])
+                cols = [c[lead] for c in cols]
+                yield _rows(RUN, 1, bucket=[bucket], blob=[pack(*cols)])
+                yield _away(cols, bucket, buckets)
 
         def run(batches):
-            bucket, blobs = None, []
+            bucket, blobs, marks = None, [], []
             for b in batches:
-                for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, blob, anchor in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                     if k != bucket:
-                        yield from out(bucket, blobs)
-                        bucket, blobs = k, []
-                    blobs.append(blob)
-            yield from out(bucket, blobs)
+                        yield from out(bucket, blobs, marks)
+                        bucket, blobs, marks = k, [], []
+                    marks.append(anchor) if blob is None else blobs.append(blob)
+            yield from out(bucket, blobs, marks)
 
         self.runs = [self._write(rows.mapInArrow(run, SCHEMA))]
 
