@@ -3,7 +3,7 @@
 Equal vectors are one node; a node keeps its WANTED + 1 smallest ids, which is all that a result can name of it. The
 graph starts from blocks of vectors that lie side by side on a few seeded random projections. Each round joins every
 node with its neighbours and those it is a neighbour of, compares them with each other (neighbours of neighbours), and
-keeps the DEGREE nearest of each node. Search keeps a pool of the POOL nearest nodes seen for each query and expands
+keeps the DEGREE nearest of each node, until a round changes less than the share CHANGED of all edges. Search keeps a pool of the POOL nearest nodes seen for each query and expands
 what it has not expanded, all queries at once, until nothing new comes near; the pool is not a limit on results but the
 width of the search, and recall is measured.
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, workspace, written
 
-DEGREE, REVERSE, ROUNDS, PROJECTIONS, BLOCK = 24, 24, 2, 3, 64
-POOL, STEPS, WANTED, ENTRIES, SEED = 144, 8, 10, 64, 11
+DEGREE, REVERSE, CHANGED, PROJECTIONS, BLOCK = 24, 24, 0.001, 3, 64
+POOL, WANTED, ENTRIES, SEED = 144, 10, 64, 11
 
 
 def valid(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """Nodes (node, vec), members (node, id) and edges (a, b, d) of an index."""
+    """Nodes (node, vec), members (node, id) and edges (a, b, d, and whether the last round found it) of an index."""
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", column: str = "embedding"):
         self.spark, self.folder, self.steps = vectors.sparkSession, workspace(vectors.sparkSession), 0
@@ -64,7 +64,7 @@ class Graph:
 
     def _nearest(self, edges: DataFrame, k: int) -> DataFrame:
         w = Window.partitionBy("a").orderBy("d", "b")
-        return edges.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+        return edges.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
     def start(self) -> None:
         """Edges inside blocks of neighbours on random lines."""
@@ -93,14 +93,14 @@ class Graph:
 
             part = lined.mapInArrow(inside, "a long, b long, d double")
             found = part if found is None else found.unionByName(part)
-        self.edges = self._write(self._nearest(found, DEGREE))
+        self.edges = self._write(self._nearest(found.withColumn("fresh", F.lit(True)), DEGREE))
 
     def descend(self) -> None:
-        """One round: neighbours of neighbours."""
+        """One round: neighbours of neighbours; the edges it brought are fresh."""
         back = self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
         w = Window.partitionBy("a").orderBy("d", "b")
         back = back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REVERSE).drop("_n")
-        around = self.edges.unionByName(back).select(F.col("a").alias("of"), F.col("b").alias("node")).distinct()
+        around = self.edges.drop("fresh").unionByName(back).select(F.col("a").alias("of"), F.col("b").alias("node")).distinct()
         around = around.unionByName(self.nodes.select(F.col("node").alias("of"), "node"))
         worst = self.edges.groupBy("a").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(float("inf")).alias("worst"))
         known = self.nodes.join(worst.withColumnRenamed("a", "node"), "node", "left").select("node", "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
@@ -127,12 +127,17 @@ class Graph:
             if of is not None:
                 yield _edges(*_closer(np.concatenate(ids), np.concatenate(rows), np.concatenate(worst)))
 
-        found = rows.mapInArrow(local, "a long, b long, d double")
-        self.edges = self._write(self._nearest(self.edges.unionByName(found), DEGREE))
+        found = rows.mapInArrow(local, "a long, b long, d double").withColumn("fresh", F.lit(True))
+        self.edges = self._write(self._nearest(self.edges.withColumn("fresh", F.lit(False)).unionByName(found), DEGREE))
+
+    def changed(self) -> float:
+        """The share of edges that the last round brought."""
+        n, fresh = self.edges.agg(F.count("*"), F.sum(F.col("fresh").cast("long"))).first()
+        return fresh / n if n else 0.0
 
     def build(self) -> Graph:
         self.start()
-        for _ in range(ROUNDS):
+        while self.changed() > CHANGED:
             self.descend()
         both = self.edges.select("a", "b").unionByName(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         self.steps_out = self._write(both)
@@ -153,7 +158,7 @@ class Graph:
         pool = first.select("q", "node", distance.alias("d")).distinct().withColumn("done", F.lit(False))
         w = Window.partitionBy("q").orderBy("d", "node")
         pool = self._write(pool.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= POOL).drop("_n"))
-        for _ in range(STEPS):
+        while True:  # a node that has left a pool can't come back, as the pool only gets nearer
             fresh = pool.where(~F.col("done"))
             if fresh.isEmpty():
                 break

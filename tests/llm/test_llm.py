@@ -280,6 +280,13 @@ def test_neighbours(spark):
     assert neighbours.search_table(df.limit(0)).count() == 0
 
 
+def test_neighbours_descend_until_nothing_changes(spark):
+    x = np.random.default_rng(1).standard_normal((3000, 32))
+    graph = neighbours.Graph(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).build()
+    graph.descend()
+    assert graph.changed() < 0.005
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
