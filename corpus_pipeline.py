@@ -26,10 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    firsts = jaccard.link_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each group of linked rows the one with the smallest id (null last), and every row that is linked with none.
+
+    Rows are told apart by a key of their own, so rows that share an id, or have none, are decided by their texts.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), workspace(spark))
+    links = jaccard.link_classes(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_rank")).join(links, "_row")
+    firsts = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(firsts, "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,6 +287,19 @@ def test_neighbours_descend_until_nothing_changes(spark):
     assert graph.changed() < 0.005
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(4)
+    words = lambda: " ".join(r.choice(VOCAB) for _ in range(40))
+    same, alone = words(), [words() for _ in range(8)]
+    ids = [None, None, 5, 5, 5, 6, 7, None]
+    rows = [*zip(ids, alone, strict=True), (9, same), (8, same), (None, same), (5, ""), (None, None), (None, "")]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows]).select(*p.COLUMNS)
+    got = Counter((x.doc_id, x.text) for x in p.near_copies(spark, docs, SF).collect())
+    assert got == Counter([*zip(ids, alone, strict=True), (8, same), (5, ""), (None, None), (None, "")])
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
