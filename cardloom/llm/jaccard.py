@@ -19,7 +19,7 @@ Sets of shingles are held as sorted 64-bit hashes. A class is all documents with
    a set's prefix of level r is the shortest that weighs more than the set may lose even if its r - 1 heaviest groups
    are shared: sets that link share r groups of both prefixes. Lists of combinations of r groups are short where lists
    of tokens are long. A set's own level is the highest with MOST combinations or fewer; a pair meets at the lower one
-   of its two levels.
+   of its two levels. Pairs that earlier links join already are left out.
 
 Sets are sent to comparisons only, once for each hub or partner; hot hubs are salted.
 """
@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import U, Words, mix, pack, release, runs, shuffle_partitions, slices, text_buffers, unpack, workspace, written
+from .shared import U, Words, drop_path, mix, pack, release, runs, shuffle_partitions, slices, text_buffers, trimmed, unpack, workspace, written
 
 SHINGLE, THRESHOLD = 4, 85  # words; per cent
-HOT, ROUNDS, FLUSH = 32, 8, 1 << 20
-BLOCK = 2000  # sets that are compared with one hub in one task
+HOT, ROUNDS, FLUSH = 32, 8, 1 << 19
+SPLIT = 4  # buckets that a task works on, one after the other
+MOST_BROADCAST = 2_000_000  # rows of 24 bytes; more are joined by a shuffle
+BLOCK, TARGETS = 500, 8000  # sets that are compared with one hub in one task; targets of a ring's task
 RING = 40  # per cent: sets as similar to a hub as this are answered from their differences to it
 LEVEL, MOST = 5, 128  # groups in a combination, and combinations of a set's own level, at most
 
@@ -139,7 +141,22 @@ def _by_bucket(rows: DataFrame, buckets: int, kinds: tuple, out, schema: str) ->
                 blobs.append(blob) if blob is not None else marks.append(mark)
         yield from done()
 
-    return rows.select("bucket", "blob", "mark").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return rows.select("bucket", "blob", "mark").repartition(buckets // SPLIT, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), schema)
+
+
+def _part(sid: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(sid ^ U(0x632BE59BD9B4E019)) % U(parts)).astype(np.int64)
+
+
+def _with_part(parts: int):
+    """Rows that begin with sid, with the number of their part before it."""
+
+    def run(batches):
+        for b in batches:
+            part = _part(b.column(0).to_numpy().view(U), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *b.columns], names=["part", *b.schema.names])
+
+    return run
 
 
 def _record(**cols) -> pa.RecordBatch:
@@ -152,12 +169,18 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int = SHINGLE):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.k, self.buckets, self.folder, self.steps = k, shuffle_partitions(self.spark), workspace(docs.sparkSession), 0
+        self.k, self.parts, self.folder, self.steps = k, shuffle_partitions(self.spark), workspace(docs.sparkSession), 0
+        self.buckets = SPLIT * self.parts
 
     def _write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.steps += 1
         return written(df, f"{self.folder}/{self.steps}", partition_by)
 
+    def _drop(self, *steps: int | str) -> None:
+        """Delete written steps that nothing reads any more."""
+        for step in steps:
+            drop_path(self.spark, f"{self.folder}/{step}")
+
     # ------------------------------------------------------------ 1. sieve
 
     def sieve(self) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +227,7 @@ class JaccardJoin:
             if size:
                 yield from flush()
 
-        made = self._write(self.docs.mapInArrow(scan, schema), "kind")
+        made = self._write(self.docs.mapInArrow(trimmed(scan), schema), "kind")
         own = made.where("kind = 0").select("doc_id", "n", "sid")
 
         def count(cols, marks):
@@ -224,127 +247,168 @@ class JaccardJoin:
         counts = counts.unionByName(made.where("kind = 3").select("sid", "n")).groupBy("sid").agg(F.sum("n").alias("shared"))
         classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
         least = F.expr(f"greatest(1, (({THRESHOLD} * n + 99) div 100) div 10)")
-        left = classes.join(counts, "sid").where(F.col("shared") >= least).select("sid", "n", "rep", "shared")
-        return own, self._write(left)
+        left = self._write(classes.join(counts, "sid").where(F.col("shared") >= least).select("sid", "n", "rep", "shared"))
+        self._drop("1/kind=1", "1/kind=2", "1/kind=3")
+        return own, left
 
     # ------------------------------------------------------------ 2. index
 
     def sets(self, left: DataFrame) -> DataFrame:
-        """sid, n, shared and tokens of the classes that are left, bucketed by sid."""
+        """sid, n, shared and tokens of the classes that are left, one row each, bucketed by sid.
+
+        The texts are read again. The classes' ids are broadcast if they are MOST_BROADCAST or fewer, so that the other
+        texts aren't shuffled; more are joined by a shuffle.
+        """
         k = self.k
+        reps = left.select("rep", F.col("sid").alias("_sid"), "shared")
+        reps = F.broadcast(reps) if reps.count() <= MOST_BROADCAST else reps
         # a class's texts are those of its representative; rows that share its doc_id but not its set are left out
-        hits = self.docs.join(left.withColumnRenamed("sid", "_sid"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "_sid", "shared")
+        hits = self.docs.join(reps, F.col("doc_id") == F.col("rep")).select("text", "_sid", "shared")
 
         def run(batches):
+            seen = set()  # repeated rows of a task give one set
             for b in batches:
-                want, shared = b.column(2).to_numpy(), b.column(3).to_numpy()
-                for i, j, h, edge in _sets_of(b, 1, k):
-                    sid = set_ids(h, edge).view(np.int64)
-                    ok = np.flatnonzero(sid == want[i:j])
-                    yield _record(sid=pa.array(sid[ok]), n=pa.array(np.diff(edge)[ok].astype(np.int32)), shared=pa.array(shared[i:j][ok]), tokens=pa.array([h[edge[x] : edge[x + 1]].tobytes() for x in ok], pa.binary()))
-
-        made = hits.mapInArrow(run, "sid long, n int, shared long, tokens binary")
-        name = f"cardloom_sets_{uuid.uuid4().hex}"
-        made.repartition(self.buckets, "sid").write.bucketBy(self.buckets, "sid").option("compression", "zstd").option("path", f"{self.folder}/sets").saveAsTable(name)
+                want, shared = b.column(1).to_numpy(), b.column(2).to_numpy()
+                for i, j, h, edge in _sets_of(b, 0, k):
+                    sid, new = set_ids(h, edge).view(np.int64), []
+                    for x in np.flatnonzero(sid == want[i:j]).tolist():
+                        if (s := int(sid[x])) not in seen:
+                            seen.add(s)
+                            new.append(x)
+                    yield _record(sid=pa.array(sid[new], pa.int64()), n=pa.array(np.diff(edge)[new].astype(np.int32)), shared=pa.array(shared[i:j][new]), tokens=pa.array([h[edge[x] : edge[x + 1]].tobytes() for x in new], pa.binary()))
+
+        made = hits.mapInArrow(trimmed(run), "sid long, n int, shared long, tokens binary")
+        self.table = f"cardloom_sets_{uuid.uuid4().hex}"
+        made = made.repartition(self.parts, "sid").dropDuplicates(["sid"])
+        made.write.bucketBy(self.parts, "sid").option("compression", "zstd").option("path", f"{self.folder}/sets").saveAsTable(self.table)
         release(self.spark)
-        return self.spark.table(name)
+        return self.spark.table(self.table)
 
     def _by_token(self, sets: DataFrame, out, schema: str) -> DataFrame:
         """out(tokens and sids of a bucket) for each bucket of tokens; sets: sid, n, tokens."""
         buckets = self.buckets
 
         def scan(batches):
+            parts, size = [], 0
+
+            def flush():
+                token, sid = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.argsort(token)
+                token, sid = token[order], sid[order]
+                bucket, blobs = _blobs(_bucket(token, buckets), token, sid)
+                yield _record(bucket=pa.array(bucket.astype(np.int32)), blob=pa.array(blobs, pa.binary()), mark=pa.nulls(len(blobs), pa.int64()))
+
             for b in batches:
                 sid = b.column(0).to_numpy().view(U)
                 data, offsets = _binary(b.column(2))
-                own = np.repeat(np.arange(len(sid)), np.diff(offsets) // 8)
-                token = data.view(U)
-                bucket, blobs = _blobs(_bucket(token, buckets), token, sid[own])
-                yield _record(bucket=pa.array(bucket.astype(np.int32)), blob=pa.array(blobs, pa.binary()), mark=pa.nulls(len(blobs), pa.int64()))
+                for i, j in slices(offsets, 8 * FLUSH):
+                    parts.append((data[offsets[i] : offsets[j]].view(U), np.repeat(sid[i:j], np.diff(offsets[i : j + 1]) // 8)))
+                    size += len(parts[-1][0])
+                    if size >= FLUSH:
+                        yield from flush()
+                        parts, size = [], 0
+            if size:
+                yield from flush()
 
-        flat = sets.select("sid", "n", "tokens").mapInArrow(scan, "bucket int, blob binary, mark long")
+        flat = sets.select("sid", "n", "tokens").mapInArrow(trimmed(scan), "bucket int, blob binary, mark long")
         return _by_bucket(flat, buckets, ("<u8", "<u8"), out, schema)
 
     def lists(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs from short lists (a, b) and the entries of long ones (token, sid, n, pri)."""
-        buckets = self.buckets
+        buckets, parts = self.buckets, self.parts
 
         def hot(cols, marks):
             token, sid = cols
             order = np.lexsort((sid, token))
             token, sid = token[order], sid[order]
-            new = runs(token, sid)
-            token, sid = token[new], sid[new]
             start = np.flatnonzero(runs(token))
             size = np.diff(np.append(start, len(token)))
             df = np.repeat(size, size)
             at = df >= HOT
             if at.any():
-                own, t, level = sid[at], token[at], np.log2(df[at]).astype(np.uint8)
-                order = np.lexsort((t, own))
-                own, t, level = own[order], t[order], level[order]
-                start = np.flatnonzero(runs(own))
-                end = np.append(start[1:], len(own))
-                yield _record(sid=pa.array(own[start].view(np.int64)), hot=pa.array([pack(t[i:j], level[i:j]) for i, j in zip(start, end, strict=True)], pa.binary()))
+                # a blob for each part of the sets, not a row for each set: a bucket's answer is as many rows at most
+                to, blobs = _blobs(_part(sid[at], parts), token[at], sid[at], np.log2(df[at]).astype(np.uint8))
+                yield _record(part=pa.array(to.astype(np.int32)), blob=pa.array(blobs, pa.binary()))
 
-        common = self._write(self._by_token(sets, hot, "sid long, hot binary"))
-        by_set = common.groupBy("sid").agg(F.collect_list("hot").alias("hot"))  # a list for each bucket at most
-        both = sets.join(by_set.hint("shuffle_hash"), "sid", "left").select("sid", "n", "tokens", "hot", "shared")
+        common = self._write(self._by_token(sets, hot, "part int, blob binary"))
+        own = sets.select("sid", "n", "tokens", "shared").mapInArrow(_with_part(parts), "part int, sid long, n int, tokens binary, shared long")
+        rows = common.select("part", F.lit(0).alias("role"), "blob", *[F.lit(None).cast(t).alias(c) for c, t in (("sid", "long"), ("n", "int"), ("shared", "long"))])
+        rows = rows.unionByName(own.select("part", F.lit(1).alias("role"), F.col("tokens").alias("blob"), "sid", "n", "shared"))
+        rows = rows.repartition(parts, "part").sortWithinPartitions("part", "role").select("part", "role", "blob", "sid", "n", "shared")
 
         def index(batches):
-            cols, size = [], 0
+            cols, size, at, gathered, known = [], 0, None, [], None
+            none = np.zeros(0, U)
 
             def flush():
                 token, sid, n, pos = (np.concatenate(c) for c in zip(*cols, strict=True))
                 bucket, blobs = _blobs(_bucket(token, buckets), token, sid, n, pos)
                 yield _record(bucket=pa.array(bucket.astype(np.int32)), blob=pa.array(blobs, pa.binary()), token=pa.nulls(len(blobs), pa.int64()), sid=pa.nulls(len(blobs), pa.int64()), n=pa.nulls(len(blobs), pa.int32()), pri=pa.nulls(len(blobs), pa.int64()))
 
+            def by_set():
+                if not gathered:
+                    return none, none, np.zeros(0, np.uint8)
+                token, sid, level = (np.concatenate(c) for c in zip(*[unpack(x, "<u8", "<u8", "u1") for x in gathered], strict=True))
+                order = np.lexsort((token, sid))
+                return token[order], sid[order], level[order]
+
             for b in batches:
                 hot_out = [[], [], [], []]
-                for sid, n, blob, marks, shared in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                for part, role, blob, sid, n, shared in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                    if part != at:
+                        at, gathered, known = part, [], None
+                    if not role:
+                        gathered.append(blob)
+                        continue
+                    if known is None:
+                        known, gathered = by_set(), []
                     token = np.frombuffer(blob, U)
                     p = int(prefix_length(n, int(extra_of(n))))
                     level = np.zeros(n, np.uint8)
-                    for m in marks or []:
-                        t, v = unpack(m, "<u8", "u1")
-                        level[np.searchsorted(token, t)] = v
+                    me = np.int64(sid).view(U)
+                    i, j = np.searchsorted(known[1], me), np.searchsorted(known[1], me, side="right")
+                    level[np.searchsorted(token, known[0][i:j])] = known[2][i:j]
                     order = np.lexsort((token, level))[:p]
                     cold = order[level[order] == 0]
-                    cols.append((token[cold], np.full(len(cold), sid, np.int64).view(U), np.full(len(cold), n, np.uint32), np.arange(len(cold), dtype=np.uint32)))
+                    cols.append((token[cold], np.full(len(cold), me), np.full(len(cold), n, np.uint32), np.arange(len(cold), dtype=np.uint32)))
                     size += len(cold)
                     warm = order[level[order] > 0]
                     hot_out[0].append(token[warm])
                     hot_out[1].append(np.full(len(warm), sid, np.int64))
                     hot_out[2].append(np.full(len(warm), n, np.int32))
                     hot_out[3].append(np.full(len(warm), 1000 * shared // p, np.int64))
+                    if size >= FLUSH:
+                        yield from flush()
+                        cols, size = [], 0
                 if hot_out[0] and sum(map(len, hot_out[0])):
                     t, s, n, pri = map(np.concatenate, hot_out)
                     yield _record(bucket=pa.nulls(len(t), pa.int32()), blob=pa.nulls(len(t), pa.binary()), token=pa.array(t.view(np.int64)), sid=pa.array(s), n=pa.array(n), pri=pa.array(pri))
-                if size >= FLUSH:
-                    yield from flush()
-                    cols, size = [], 0
             if size:
                 yield from flush()
 
-        made = self._write(both.mapInArrow(index, "bucket int, blob binary, token long, sid long, n int, pri long"))
+        made = self._write(rows.mapInArrow(trimmed(index), "bucket int, blob binary, token long, sid long, n int, pri long"))
+        self._drop(self.steps - 1)
 
         def pairs(cols, marks):
             token, sid, n, pos = cols
-            order = np.lexsort((sid, n, token))
-            token, sid, n, pos = token[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-            found = []
-            for d in range(1, HOT + 1):  # partners d places on in the same list
-                if d >= len(token):
-                    break
-                i = np.flatnonzero(token[:-d] == token[d:])
+            order = np.lexsort((sid, pos, token))
+            token, sid, n, pos = token[order], sid[order].view(np.int64), n[order].astype(np.int64), pos[order].astype(np.int64)
+            found, i, d = [], np.arange(len(token)), 0
+            # Each list is ordered by position. A partner whose token stands further than reach behind shares too little
+            # of what comes before, and so do all after it: the rest of the list is skipped.
+            reach = pos + (100 - THRESHOLD) * n // THRESHOLD
+            while True:
+                d += 1
+                i = i[i + d < len(token)]
+                i = i[(token[i] == token[i + d]) & (pos[i + d] <= reach[i])]
                 if not len(i):
                     break
                 j = i + d
-                # sizes: 100 n_i >= 85 n_j; positions: what may still be shared before and after this token
-                most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-                ok = (100 * n[i] >= THRESHOLD * n[j]) & ((100 + THRESHOLD) * most >= THRESHOLD * (n[i] + n[j])) & (sid[i] != sid[j])
-                i, j = i[ok], j[ok]
-                found.append((np.minimum(sid[i].view(np.int64), sid[j].view(np.int64)), np.maximum(sid[i].view(np.int64), sid[j].view(np.int64)), np.minimum(extra_of(n[i]), extra_of(n[j]))))
+                # sizes: within the threshold of each other; positions: what may still be shared before and after this token
+                most = pos[i] + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+                ok = (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])) & ((100 + THRESHOLD) * most >= THRESHOLD * (n[i] + n[j]))
+                x, y = i[ok], j[ok]
+                found.append((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), np.minimum(extra_of(n[x]), extra_of(n[y]))))
             if found:
                 a, b, need = (np.concatenate(c) for c in zip(*found, strict=True))
                 order = np.lexsort((b, a))
@@ -364,7 +428,7 @@ class JaccardJoin:
         blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         members = pairs.join(sets.select("sid", "n", "tokens"), "sid").join(blocks, "hub").select("hub", "sid", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "tokens")
         hubs = blocks.join(sets.select(F.col("sid").alias("hub"), "tokens"), "hub").select("hub", F.col("hub").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "tokens")
-        rows = members.unionByName(hubs).repartition(self.buckets, "hub", "block").sortWithinPartitions("hub", "block", "role")
+        rows = members.unionByName(hubs).repartition(self.parts, "hub", "block").sortWithinPartitions("hub", "block", "role")
 
         def run(batches):
             hub, h = None, np.zeros(0, U)
@@ -387,7 +451,9 @@ class JaccardJoin:
                         o.append(v)
                 yield _record(hub=pa.array(out[0], pa.int64()), sid=pa.array(out[1], pa.int64()), nh=pa.array(out[2], pa.int32()), n=pa.array(out[3], pa.int32()), inter=pa.array(out[4], pa.int32()), more=pa.array(out[5], pa.binary()), less=pa.array(out[6], pa.binary()))
 
-        return self._write(rows.mapInArrow(run, "hub long, sid long, nh int, n int, inter int, more binary, less binary"))
+        met = self._write(rows.mapInArrow(trimmed(run), "hub long, sid long, nh int, n int, inter int, more binary, less binary"))
+        self._drop(self.steps - 1)
+        return met
 
     def _linked(self, met: DataFrame) -> DataFrame:
         return met.where(f"100 * inter >= {THRESHOLD} * (nh + n - inter)").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
@@ -396,14 +462,14 @@ class JaccardJoin:
         """Links (a, b) between the sets near one hub, from their differences to it; met: what compared() gave."""
         near = met.where("more is not null").withColumn("ball", F.expr(f"100 * inter >= {THRESHOLD} * (nh + n - inter)"))
         sizes = near.groupBy("hub").agg(F.count_if(~F.col("ball")).alias("ring"), F.count("*").alias("all")).where("ring > 0")
-        sizes = sizes.select("hub", F.ceil(F.col("ring") / BLOCK).cast("int").alias("q"), F.ceil(F.col("all") / (10 * BLOCK)).cast("int").alias("t"))
+        sizes = sizes.select("hub", F.ceil(F.col("ring") / BLOCK).cast("int").alias("q"), F.ceil(F.col("all") / TARGETS).cast("int").alias("t"))
         near = near.join(sizes, "hub")
         cut = lambda of: F.pmod(F.xxhash64("sid"), F.col(of)).cast("int")
         each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
         cols = ["hub", "sid", "nh", "n", "more", "less", "ball"]
         targets = near.select(*cols, cut("t").alias("ti"), each("q").alias("qi"), F.lit(0).alias("role"))
         askers = near.where(~F.col("ball")).select(*cols, cut("q").alias("qi"), each("t").alias("ti"), F.lit(1).alias("role"))
-        rows = targets.unionByName(askers).repartition(self.buckets, "hub", "qi", "ti").sortWithinPartitions("hub", "qi", "ti", "role").select(*cols, "qi", "ti", "role")
+        rows = targets.unionByName(askers).repartition(self.parts, "hub", "qi", "ti").sortWithinPartitions("hub", "qi", "ti", "role").select(*cols, "qi", "ti", "role")
 
         def answer(targets, askers):
             if not askers or not targets:
@@ -463,43 +529,43 @@ class JaccardJoin:
                     (askers if r[9] else targets).append(r)
             yield from answer(targets, askers)
 
-        return rows.mapInArrow(run, "a long, b long")
+        return rows.mapInArrow(trimmed(run), "a long, b long")
 
     # ------------------------------------------------------------ 3. long lists
 
-    def long_lists(self, entries: DataFrame, sets: DataFrame) -> list[DataFrame]:
-        """Links that the lists of hot tokens give; entries (token, sid, n, pri).
+    def long_lists(self, entries: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+        """links and those that the lists of hot tokens give; entries (token, sid, n, pri).
 
         A round compares each list with one hub. The ball is done with; the ring is answered within itself and with the
         ball, and marked with the hub. A list is done when all that is left of it bears one mark. Hubs are chosen among
         sets without a mark first.
         """
-        found = []
         entries = entries.withColumn("mark", F.lit(None).cast("long"))
         for k in range(ROUNDS + 1):
             hubs = entries.groupBy("token").agg(F.max(F.struct(F.col("mark").isNull().alias("fresh"), "pri", "sid", "n")).alias("hub"), F.count("*").alias("size"), F.count_if(F.col("mark").isNull()).alias("fresh"), F.min("mark").alias("low"), F.max("mark").alias("high"))
-            hubs = hubs.where("size > 1 and (fresh > 0 or low <> high)").select("token", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("nh"))
+            hubs = self._write(hubs.where("size > 1 and (fresh > 0 or low <> high)").select("token", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("nh")))
+            if hubs.isEmpty():
+                break
             if k == ROUNDS:
                 rest = entries.join(hubs.select("token"), "token", "left_semi").select("sid").distinct()
-                found.append(self._linked(self.compared(self.combined(rest, sets), sets, False)))
+                found = self._linked(self.compared(self.combined(rest, sets, links), sets, False))
+                links = links.unionByName(found)
                 break
-            hubs = self._write(hubs)
             fits = F.expr(f"100 * least(n, nh) >= {RING} * greatest(n, nh)")
             met = self.compared(entries.join(hubs, "token").where((F.col("sid") != F.col("hub")) & fits).select("hub", "sid").distinct(), sets, True)
-            found.append(self._linked(met))
-            found.append(self._write(self.rings(met)))
             near = met.where("more is not null").select("hub", "sid", F.expr(f"100 * inter >= {THRESHOLD} * (nh + n - inter)").alias("ball"))
             left = entries.join(hubs.select("token", "hub"), "token").where("sid <> hub").join(near, ["hub", "sid"], "left").where("not coalesce(ball, false)")
             entries = self._write(left.select("token", "sid", "n", "pri", F.when(F.col("ball").isNotNull(), F.col("hub")).otherwise(F.col("mark")).alias("mark")))
-            if entries.isEmpty():
-                break
-        return found
+            links = links.unionByName(self._linked(met)).unionByName(self._write(self.rings(met)))
+        return links
 
     # ------------------------------------------------------------ 4. combinations
 
-    def combined(self, sids: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (hub, sid) among the sets sids, all those that link among them; see 4 above."""
+    def combined(self, sids: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+        """Pairs (hub, sid) among the sets sids that may link and that links don't join already; see 4 above."""
         buckets = self.buckets
+        joined = components(links).withColumnRenamed("node", "sid")
+        sids = sids.join(joined, "sid", "left").select("sid", F.coalesce("component", "sid").alias("joined"))
 
         def group(cols, marks):
             token, sid = cols
@@ -523,7 +589,7 @@ class JaccardJoin:
             end = np.append(start[1:], len(sid))
             yield _record(sid=pa.array(sid[start].view(np.int64)), part=pa.array([pack(name[i:j], held[i:j], weight[i:j]) for i, j in zip(start, end, strict=True)], pa.binary()))
 
-        mine = self._write(sets.join(sids, "sid", "left_semi").select("sid", "n", "tokens"))
+        mine = self._write(sets.join(sids, "sid").select("sid", "n", "tokens", "joined"))
         parts = self._by_token(mine, group, "sid long, part binary").groupBy("sid").agg(F.collect_list("part").alias("parts"))  # one for each bucket at most
 
         def prefix(weight, r, loss):
@@ -540,8 +606,8 @@ class JaccardJoin:
         def keys(batches):
             chosen = {}  # few, as MOST bounds them
             for b in batches:
-                cols = [[np.zeros(0, t)] for t in (U, U, np.uint32, np.uint8)]
-                for sid, n, blobs in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                cols = [[np.zeros(0, t)] for t in (U, U, U, np.uint32, np.uint8)]
+                for sid, n, blobs, joined in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                     name, held, weight = (np.concatenate(c) for c in zip(*[unpack(x, "<u8", "<u4", "<u4") for x in blobs], strict=True))
                     order = np.argsort(name, kind="stable")
                     start = np.flatnonzero(runs(name[order]))
@@ -567,28 +633,28 @@ class JaccardJoin:
                         key = np.full(len(at), r, U)
                         for c in range(r):
                             key = mix(key + name[at[:, c]])
-                        for have, x in zip(cols, (key, np.full(len(at), sid, np.int64).view(U), np.full(len(at), n, np.uint32), np.full(len(at), r == levels[-1][0], np.uint8)), strict=True):
+                        for have, x in zip(cols, (key, np.full(len(at), sid, np.int64).view(U), np.full(len(at), joined, np.int64).view(U), np.full(len(at), n, np.uint32), np.full(len(at), r == levels[-1][0], np.uint8)), strict=True):
                             have.append(x)
                 cols = [np.concatenate(c) for c in cols]
                 bucket, blobs = _blobs(_bucket(cols[0], buckets), *cols)
                 yield _record(bucket=pa.array(bucket.astype(np.int32)), blob=pa.array(blobs, pa.binary()), mark=pa.nulls(len(blobs), pa.int64()))
 
         def pairs(cols, marks):
-            key, sid, n, own = cols
+            key, sid, joined, n, own = cols
             order = np.lexsort((sid, n, key))
-            key, sid, n, own = key[order], sid[order].view(np.int64), n[order].astype(np.int64), own[order] > 0
+            key, sid, joined, n, own = key[order], sid[order].view(np.int64), joined[order], n[order].astype(np.int64), own[order] > 0
             i, d = np.arange(len(key)), 0
             while len(i):  # partners d places on in the same list, while the sizes allow a link
                 d += 1
                 i = i[i + d < len(key)]
                 i = i[(key[i] == key[i + d]) & (100 * n[i] >= THRESHOLD * n[i + d])]
                 j = i + d
-                ok = (own[i] | own[j]) & (sid[i] != sid[j])
+                ok = (own[i] | own[j]) & (joined[i] != joined[j])
                 if ok.any():
                     yield _record(hub=pa.array(np.minimum(sid[i[ok]], sid[j[ok]])), sid=pa.array(np.maximum(sid[i[ok]], sid[j[ok]])))
 
-        rows = mine.select("sid", "n").join(parts, "sid").select("sid", "n", "parts").mapInArrow(keys, "bucket int, blob binary, mark long")
-        return _by_bucket(rows, buckets, ("<u8", "<u8", "<u4", "u1"), pairs, "hub long, sid long").distinct()
+        rows = mine.select("sid", "n", "joined").join(parts, "sid").select("sid", "n", "parts", "joined").mapInArrow(trimmed(keys), "bucket int, blob binary, mark long")
+        return _by_bucket(rows, buckets, ("<u8", "<u8", "<u8", "<u4", "u1"), pairs, "hub long, sid long").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """documents (doc_id, n, sid), and links between classes (a, b) that join what belongs together."""
@@ -596,8 +662,9 @@ class JaccardJoin:
         sets = self.sets(left)
         direct, entries = self.lists(sets)
         links = self._linked(self.compared(direct.select(F.col("a").alias("hub"), F.col("b").alias("sid")), sets, False))
-        for more in self.long_lists(entries, sets):
-            links = links.unionByName(more)
+        links = self._write(self.long_lists(entries, sets, links))
+        self.spark.sql(f"DROP TABLE {self.table}")
+        self._drop("sets", *range(2, self.steps))
         return own, links
 
 

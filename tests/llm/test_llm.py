@@ -118,6 +118,38 @@ def test_jaccard(spark):
     assert jaccard.link_classes(table(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 60])
+def test_jaccard_with_repeated_rows(spark, copies):
+    r = random.Random(2)
+    words = lambda n: [f"q{r.randrange(10**6)}" for _ in range(n)]
+    a = words(110)
+    b = a[:88] + words(22)  # shares 85 words or so with both, and links with neither
+    texts = [(1, a), (2, a + words(2)), *[(3, b)] * copies, (4, words(40))]
+    docs = table(spark, [" ".join(t) for _, t in texts], [i for i, _ in texts])
+    got = Counter((x.doc_id, x.component_id) for x in jaccard.link_classes(docs).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 1, (3, 3): copies, (4, 4): 1})
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_jaccard_of_mixed_passages(spark, monkeypatch, rounds):
+    # texts made of the same few passages in other mixes: every list is long; without rounds all go to combinations
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    r = random.Random(6)
+    words = lambda n: [f"p{r.randrange(10**6)}" for _ in range(n)]
+    passages, texts = [words(30) for _ in range(9)], []
+    for _ in range(160):
+        mine = [x for p in r.sample(passages, 6) for x in p]
+        for _ in range(r.choice([0, 1, 3])):
+            mine[r.randrange(len(mine))] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(mine + words(r.randrange(8))))
+    for n in range(60):
+        near = [x for p in passages[:7] for x in p]
+        near[r.randrange(len(near))] = f"y{n}"
+        texts.append(" ".join(near))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link_classes(table(spark, texts)).collect()}
+    assert got == linked(list(enumerate(texts)))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (6, 6), (5, 6), *[(100 + i, 101 + i) for i in range(40)]], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
