@@ -29,7 +29,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import U, Words, drop_path, mix, pack, release, runs, shuffle_partitions, slices, text_buffers, trimmed, unpack, workspace, written
+from .shared import U, Words, drop_path, mix, pack, release, runs, shuffle_partitions, slices, table_of, text_buffers, trimmed, unpack, workspace, written
 
 SHINGLE, THRESHOLD = 4, 85  # words; per cent
 HOT, ROUNDS, FLUSH = 32, 8, 1 << 19
@@ -278,7 +277,7 @@ class JaccardJoin:
                     yield _record(sid=pa.array(sid[new], pa.int64()), n=pa.array(np.diff(edge)[new].astype(np.int32)), shared=pa.array(shared[i:j][new]), tokens=pa.array([h[edge[x] : edge[x + 1]].tobytes() for x in new], pa.binary()))
 
         made = hits.mapInArrow(trimmed(run), "sid long, n int, shared long, tokens binary")
-        self.table = f"cardloom_sets_{uuid.uuid4().hex}"
+        self.table = table_of(self.folder, "sets")
         made = made.repartition(self.parts, "sid").dropDuplicates(["sid"])
         made.write.bucketBy(self.parts, "sid").option("compression", "zstd").option("path", f"{self.folder}/sets").saveAsTable(self.table)
         release(self.spark)

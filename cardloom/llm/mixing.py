@@ -8,8 +8,9 @@ before: shortages are met by siblings first and by ancestors after. Budgets are
 A leaf reads its documents in seeded orders, one for each epoch, and takes the first tokens up to its budget: every
 document once for each full epoch, and the last epoch's prefix, whose last document may be cut.
 
-Sums over documents are made before anything is ordered. An order's running sums come from sums of hash ranges (256 for
-each leaf, and 256 in each of them), so a leaf that holds a third of all rows is still dealt over many tasks.
+Texts are never shuffled. Their counts are written as a slim table; in it the place where a leaf's prefix ends is found
+level by level (256 hash ranges, 256 ranges of one of them, the rows of one of those), so each step handles sums or a
+65,536th of a leaf. The places, one row a leaf, are then held against each document where it is read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = ["domain", "language", "leaf"]
+from .shared import workspace, written
+
+KEY = ["domain", "_language", "_leaf"]
+MOST_LEAVES = 200_000  # sources whose budgets are broadcast
 WORD = r"[^\x20\x09-\x0D]+"
 # Whole-number weights; what isn't listed weighs DEFAULT_WEIGHT.
 DOMAIN_WEIGHTS = {"d0": 40, "d1": 30, "d2": 20, "d3": 10}
@@ -75,37 +79,67 @@ def budgets(leaves: DataFrame, total: Column, max_epochs: int = MAX_EPOCHS, doma
     return leaves.drop("cap").join(given, keys[-1])
 
 
+def _ends(slim: DataFrame, given: DataFrame, small) -> DataFrame:
+    """Where each leaf's last epoch ends: the row (_end, _end_tokens, _end_row) of its order, and its tokens taken (_part).
+
+    slim has a row for each document: key, _hash, n_tokens, _row; small marks a table of a row a leaf. Leaves without a part of an epoch have no row. Each
+    level sums up what the one before left, and keeps the range that holds the last token taken.
+    """
+    ends = given.where("_rest > 0").select(*KEY, "_rest")
+
+    def crossing(sums: DataFrame, order: list[str]) -> DataFrame:
+        before = F.coalesce(F.sum("_in").over(Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = sums.withColumn("_at", before).where((F.col("_at") < F.col("_rest")) & (F.col("_rest") <= F.col("_at") + F.col("_in")))
+        return held.withColumn("_rest", F.col("_rest") - F.col("_at")).drop("_at", "_in")
+
+    for name, start in (("_top", 1), ("_bin", 3)):  # two hexadecimal digits each: 256 sums a leaf
+        slim = slim.withColumn(name, F.substring("_hash", start, 2))
+        had = [c for c in ends.columns if c != "_rest"]
+        sums = slim.groupBy(*had, name).agg(F.sum("n_tokens").alias("_in")).join(small(ends), had)
+        ends = crossing(sums, [name])
+    inside = slim.join(small(ends), [*KEY, "_top", "_bin"]).groupBy(*KEY, "_hash", "n_tokens", "_rest")
+    ends = crossing(inside.agg(F.sum("n_tokens").alias("_in")), ["_hash", "n_tokens"])
+    ends = ends.select(*KEY, F.col("_hash").alias("_end"), F.col("n_tokens").alias("_end_tokens"), F.expr("_rest div n_tokens").alias("_whole"), F.expr("_rest % n_tokens").alias("_part"))
+    # of rows that agree in hash and tokens the first _whole are read whole: found by the tasks that read them, then the rows
+    tied = slim.join(small(ends), KEY).where("_hash = _end and n_tokens = _end_tokens").select(*KEY, "_whole", "_row", F.shiftright("_row", 33).alias("_task"))
+    tasks = tied.groupBy(*KEY, "_whole", "_task").agg(F.count("*").alias("_in")).withColumn("_rest", F.col("_whole") + 1)
+    task = crossing(tasks, ["_task"]).drop("_whole")
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("_row"))
+    row = tied.join(small(task), [*KEY, "_task"]).withColumn("_n", place).where("_n = _rest").select(*KEY, F.col("_row").alias("_end_row"))
+    return ends.join(row, KEY, "left").select(*KEY, "_end", "_end_tokens", F.coalesce("_end_row", F.lit((1 << 63) - 1)).alias("_end_row"), "_part")
+
+
 def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain: Column | None = None, **weights) -> DataFrame:
     """docs with domain, n_tokens, copies (full readings) and cut_tokens (tokens of one more, cut reading).
 
     Tokens are words here. Null text has no tokens; a null language or source is a leaf of its own ("none"). Rows that
-    agree in doc_id are read one after the other. Documents with neither copies nor cut_tokens stay in the result with
-    0 and 0: dropping them is the caller's. Columns of these names are replaced.
+    agree in doc_id are read one after the other, and rows that agree in tokens too by their places in the table, so
+    docs should be a table as read. Documents with neither copies nor cut_tokens stay in the result with 0 and 0:
+    dropping them is the caller's. Columns of these names are replaced. No rows give no rows.
+
+    One row a source is broadcast if there are MOST_LEAVES sources or fewer; with more, rows are joined by a shuffle.
     """
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     df = docs.drop("domain", "n_tokens", "copies", "cut_tokens")
     df = df.withColumn("domain", F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("none")))
     df = df.withColumn("_language", some("lang")).withColumn("_leaf", some("source")).withColumn("n_tokens", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
-    leaves = df.groupBy("domain", F.col("_language").alias("language"), F.col("_leaf").alias("leaf")).agg(F.sum("n_tokens").alias("tokens"))
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    folder = workspace(docs.sparkSession)
+    slim = written(df.select(*KEY, F.col("doc_id").cast("string").alias("_id"), "n_tokens", "_row"), f"{folder}/slim")
+    leaves = slim.groupBy("domain", F.col("_language").alias("language"), F.col("_leaf").alias("leaf")).agg(F.sum("n_tokens").alias("tokens"))
     given = budgets(leaves, F.expr(f"(all_tokens * {int(budget_percent)}) div 100"), max_epochs, **weights)
     given = given.select("domain", F.col("language").alias("_language"), F.col("leaf").alias("_leaf"), F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest"))
-    key = ["domain", "_language", "_leaf"]
-    df = df.join(given, key, "left").fillna(0, ["_full", "_rest"])
-    df = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary")))
-    df = df.withColumn("_bin", F.substring("_hash", 1, 4))
-    running = lambda keys, by: F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = df.groupBy(*key, "_bin").agg(F.sum("n_tokens").alias("_in")).withColumn("_top", F.substring("_bin", 1, 2))
-    tops = bins.groupBy(*key, "_top").agg(F.sum("_in").alias("_in"))
-    tops = tops.select(*key, "_top", running(key, "_top").alias("_start"))  # 256 rows a leaf at most
-    bins = bins.withColumn("_before", running([*key, "_top"], "_bin")).join(tops, [*key, "_top"])  # and as many a range
-    bins = bins.select(*key, "_bin", (F.col("_before") + F.col("_start")).alias("_before"))
-    within = Window.partitionBy(*key, "_bin").orderBy("_hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(bins, [*key, "_bin"])
-    df = df.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    cut = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("_rest") - F.col("_at")))
-    whole = (cut == F.col("n_tokens")) & (F.col("_at") < F.col("_rest"))
-    df = df.withColumn("copies", (F.col("_full") + F.when(whole, 1).otherwise(0)).cast("long")).withColumn("cut_tokens", F.when(whole, 0).otherwise(cut).cast("long"))
-    return df.drop("_language", "_leaf", "_full", "_rest", "_hash", "_bin", "_before", "_at")
+    given = written(given, f"{folder}/given")
+    small = F.broadcast if given.count() <= MOST_LEAVES else (lambda x: x)
+    place = lambda id_: F.md5(F.concat_ws(":", F.lit(seed), F.col("_full").cast("string"), F.coalesce(id_, F.lit("none"))).cast("binary"))
+    ends = _ends(slim.join(small(given.select(*KEY, "_full")), KEY).withColumn("_hash", place(F.col("_id"))), given, small)
+    given = written(given.join(ends, KEY, "left").drop("_rest"), f"{folder}/ends")
+    df = df.join(small(given), KEY, "left").fillna(0, ["_full"]).withColumn("_hash", place(F.col("doc_id").cast("string")))
+    tie = (F.col("_hash") == F.col("_end")) & (F.col("n_tokens") == F.col("_end_tokens"))
+    whole = F.expr("_hash < _end or (_hash = _end and n_tokens < _end_tokens)") | (tie & (F.col("_row") < F.col("_end_row")))
+    df = df.withColumn("copies", (F.col("_full") + F.when(whole, 1).otherwise(0)).cast("long"))
+    df = df.withColumn("cut_tokens", F.when(tie & (F.col("_row") == F.col("_end_row")), F.col("_part")).otherwise(0).cast("long"))
+    return df.drop("_language", "_leaf", "_full", "_hash", "_row", "_end", "_end_tokens", "_end_row", "_part")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -10,18 +10,45 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_MADE: list[str] = []  # folders that this process has made, as long as they are there
 
 
 def workspace(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the cluster (spark.checkpoint.dir).
 
-    A folder of this process is used only where the session names none, as in local tests.
+    A folder of this machine is used only where the session names none and runs on this machine alone, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cardloom-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/cardloom-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/cardloom-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the folders and tables of all operators that this process has run, unless keep reads one of their files.
+
+    Results that weren't written elsewhere can't be read afterwards.
+    """
+    read = keep.inputFiles() if keep is not None else []
+    for folder in list(_MADE):
+        name = folder.rsplit("/", 1)[1]
+        if not any(name in f for f in read):
+            drop_path(spark, folder)
+            _MADE.remove(folder)
+            for table in spark.sql("SHOW TABLES").where(F.col("tableName").endswith(name.removeprefix("cardloom-"))).collect():
+                spark.sql(f"DROP TABLE IF EXISTS {table.tableName}")
+
+
+def table_of(folder: str, kind: str) -> str:
+    """The name of a table in a workspace; clear() knows it by the folder's number."""
+    return f"cardloom_{kind}_{folder.rsplit('-', 1)[1]}"
 
 
 def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:

@@ -23,14 +23,13 @@ Texts lie in a table bucketed by row id, so reading some of them again needs no
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U, WORD_BASE, Words, mix, pack, prefix_sums, release, runs, shuffle_partitions, slices, spans, text_buffers, unpack, workspace, written
+from .shared import U, WORD_BASE, Words, mix, pack, prefix_sums, release, runs, shuffle_partitions, slices, spans, table_of, text_buffers, trimmed, unpack, workspace, written
 
 WIDTH, GRAM, FANOUT, BATCHES = 20, 8, 2, 3
 RUN_ROWS = 1 << 20  # groups that a task gathers before it writes them out as a run
@@ -205,7 +204,7 @@ def _merged(table: DataFrame, history: DataFrame | None, buckets: int, batch: in
                     (marks if kind == MARK else old).append(anchor)
         yield from bucket_out(bucket, blobs, marks, old)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(trimmed(run), SCHEMA)
 
 
 class SubstringIndex:
@@ -220,7 +219,7 @@ class SubstringIndex:
         self.spark, self.width, self.fanout = spark, width, fanout
         self.buckets = buckets or shuffle_partitions(spark)
         self.folder, self.steps, self.batch = workspace(spark), 0, 0
-        self.table = f"cardloom_texts_{uuid.uuid4().hex}"
+        self.table = table_of(self.folder, "texts")
         self.runs: list[DataFrame] = []
         self.repeats: list[DataFrame] = []
 
@@ -253,7 +252,7 @@ class SubstringIndex:
             yield from gathered.flush()
 
         own = texts.where(F.col("_batch") == batch).select(F.col("doc_id").cast("long"), "_rid", F.col("text").cast("string"))
-        made = self._write(own.mapInArrow(to_runs, SCHEMA))
+        made = self._write(own.mapInArrow(trimmed(to_runs), SCHEMA))
         history = None
         for run in self.runs:
             history = run if history is None else history.unionByName(run)
@@ -296,7 +295,7 @@ class SubstringIndex:
                     yield from gathered.add(mix(anchor[own].astype(np.int64).view(U)[which] ^ content), content, doc[i:j][row], rid[i:j][row], place, np.zeros(len(at)), of[i:j][row])
             yield from gathered.flush()
 
-        made = self._write(hits.mapInArrow(windows, SCHEMA))
+        made = self._write(hits.mapInArrow(trimmed(windows), SCHEMA))
         merged = self._write(_merged(made, None, buckets, batch, width, False))
         return made.unionByName(merged).where(F.col("kind") == REPEAT).select("rid", "first", "last")
 
@@ -330,7 +329,7 @@ class SubstringIndex:
                     marks.append(anchor) if blob is None else blobs.append(blob)
             yield from out(bucket, blobs, marks)
 
-        self.runs = [self._write(rows.mapInArrow(run, SCHEMA))]
+        self.runs = [self._write(rows.mapInArrow(trimmed(run), SCHEMA))]
 
     def removed(self) -> DataFrame:
         """_rid and the sorted ranges of its repeated words, for rows that have any."""
