@@ -4,12 +4,14 @@ For a fixed vocabulary every byte prefix of a piece has exactly one valid encodi
 token. The table of these last tokens, one entry a byte, is all the state there is:
 
 * encode: fill the table from left to right. At each end, of the tokens that end there, take the one whose left
-  neighbour (the last token of the prefix before it) may stand beside it. A pair may stand together if merging its
-  joined bytes gives the same two tokens again; answers are kept.
+  neighbour (the last token of the prefix before it) may stand beside it. Whether a pair may stand together is told by
+  undoing the merges next to the border, latest first: at no stage may the two parts that touch merge before the merge
+  just undone. Answers are kept.
 * append: go on filling. Nothing to the left changes, as an entry depends on its own prefix alone.
 * edit: fill again from the first changed byte. Bytes before it keep their entries.
 
-Texts are split by the pretokenizer's pattern first; each match is a piece of its own.
+Texts are split by the pretokenizer's pattern first; each match is a piece of its own. The distinct pieces of some texts
+are encoded in sorted order, so that each is an append to the prefix it shares with the one before.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEEP_PIECES = 400_000  # remembered pieces of a worker; beyond that it starts anew, which changes no result
+from .shared import trimmed
+
+KEEP_PIECES = 250_000  # a worker remembers as many pieces that came lately, and the like before; results don't depend on it
+GROUP = 1 << 20  # code points of the texts that are split and encoded together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,53 +44,79 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.reach: dict[bytes, int] = {}  # the longest token by its last three bytes (or all of a shorter one)
-        for token in ranks:
-            self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 0))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-
-    def _merged(self, piece: bytes) -> list[bytes]:
-        """The tokens that repeated merging of the lowest rank leaves; used on pairs of tokens only, so it is short."""
+        self.parts: dict[int, tuple[int, int] | None] = {}  # what a token was merged from last; itself for a byte
+        self.reached = {token: rank for token, rank in ranks.items() if self._parts(rank)}
+        lengths: dict[bytes, set[int]] = {}  # of the tokens that end in the same three bytes (or are shorter)
+        for token in self.reached:
+            lengths.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {}
+        for tail, own in lengths.items():
+            every = own.union(*[lengths.get(tail[k:], ()) for k in range(1, len(tail))])
+            self.lengths[tail] = tuple(sorted(every, reverse=True))
+        self.pairs: dict[int, bool] = {}
+
+    def _merged(self, piece: bytes, below: int) -> list[bytes]:
+        """The tokens that repeated merging of the lowest rank leaves, with ranks under ``below`` alone."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            least, at = None, -1
+            least, at = below, -1
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (least is None or rank < least):
+                if rank is not None and rank < least:
                     least, at = rank, i
-            if least is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stands(self, token: int) -> bool:
-        """Whether merging reaches this token from its own bytes."""
-        ok = self.whole.get(token)
-        if ok is None:
-            ok = self.whole[token] = len(self._merged(self.bytes_of[token])) == 1
-        return ok
+    def _parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that merge into this one, (token, token) for a byte; None if merging doesn't reach it."""
+        if token not in self.parts:
+            piece = self.bytes_of[token]
+            found = self._merged(piece, token)
+            two = len(found) == 2 and all(p in self.ranks and self._parts(self.ranks[p]) for p in found)
+            self.parts[token] = (self.ranks[found[0]], self.ranks[found[1]]) if two else (token, token) if len(piece) == 1 else None
+        return self.parts[token]
 
     def _beside(self, left: int, right: int) -> bool:
-        ok = self.pairs.get((left, right))
-        if ok is None:
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[left, right] = self._merged(a + b) == [a, b]
-        return ok
+        """Whether merging the bytes of both gives both again; both are tokens that merging reaches."""
+        ranks, bytes_of = self.ranks, self.bytes_of
+        undone = len(bytes_of) + 1 << 20  # the rank of the merge undone last; equal ranks go from left to right
+        while True:
+            rank = ranks.get(bytes_of[left] + bytes_of[right])
+            if rank is not None and rank < undone:
+                return False
+            inner, outer = self.parts[left][1], self.parts[right][0]
+            if inner != left and (left > right or outer == right):
+                undone, left = left, inner
+            elif outer != right:
+                undone, right = right + 1, outer
+            else:
+                return True
 
     def extend(self, piece: bytes, last: list[int], start: int = 0) -> list[int]:
         """The table of piece, given that last[:start] is right for its first start bytes."""
         del last[start:]
-        ranks, reach = self.ranks, self.reach
+        token_of, lengths, pairs = self.reached.get, self.lengths.get, self.pairs
         for end in range(start + 1, len(piece) + 1):
-            longest = reach.get(piece[max(0, end - 3) : end], 2)
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(piece[begin:end])
-                if token is None or not self._stands(token):
+            # of the tokens with the last three bytes in common (or fewer, if no token has three), the longest first
+            for n in lengths(piece[end - 3 if end > 3 else 0 : end]) or lengths(piece[max(0, end - 2) : end]) or (1,):
+                if n >= end:
+                    token = token_of(piece[:end]) if n == end else None
+                    if token is None:
+                        continue
+                    last.append(token)
+                    break
+                token = token_of(piece[end - n : end])
+                if token is None:
                     continue
-                if begin == 0 or self._beside(last[begin - 1], token):
+                pair = last[end - n - 1] << 32 | token
+                ok = pairs.get(pair)
+                if ok is None:
+                    if len(pairs) > 1_000_000:
+                        pairs.clear()
+                    ok = pairs[pair] = self._beside(pair >> 32, token)
+                if ok:
                     last.append(token)
                     break
             else:
@@ -102,11 +132,25 @@ class PrefixBPE:
         return ids[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        token = self.ranks.get(piece)
-        if token is not None and self._stands(token):
+        token = self.reached.get(piece)
+        if token is not None:
             return [token]
         return self.read_back(self.extend(piece, []))
 
+    def encode_sorted(self, pieces: list[bytes]):
+        """The ids of each piece; sorted pieces share prefixes, and so the tables of these."""
+        before, last = b"", []
+        for piece in pieces:
+            token = self.reached.get(piece)
+            if token is not None:
+                yield [token]
+                continue
+            same, most = 0, min(len(before), len(piece))
+            while same < most and before[same] == piece[same]:
+                same += 1
+            before, last = piece, self.extend(piece, last, same)
+            yield self.read_back(last)
+
     def edit(self, old: bytes, last: list[int], new: bytes) -> list[int]:
         """The table of new from that of old: entries before the first changed byte stay."""
         same = next((i for i, (a, b) in enumerate(zip(old, new, strict=False)) if a != b), min(len(old), len(new)))
@@ -119,31 +163,54 @@ class PrefixBPE:
 class TextCodec:
     """Encodes whole texts; pieces that come again are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe, self.split, self.kept = PrefixBPE(ranks), regex.compile(pattern).findall, {}
+    def __init__(self, vocabulary: PrefixBPE, pattern: str):
+        self.bpe, self.split = vocabulary, regex.compile(pattern).findall
+        self.decimal = {rank: str(rank).encode() for rank in vocabulary.bytes_of}
+        self.kept, self.older = ({}, {}), ({}, {})  # of pieces: the ids in decimals, and the bytes that the ids give
+
+    def texts(self, texts: list[str]):
+        """Of each text: its ids in decimals, joined by one space, and the bytes that the ids give."""
+        split = list(map(self.split, texts))
+        if len(self.kept[0]) > KEEP_PIECES:
+            self.kept, self.older = ({}, {}), self.kept
+        decimals, given = self.kept
+        new = []
+        for p in set().union(*split).difference(decimals):
+            if p in self.older[0]:
+                decimals[p], given[p] = self.older[0][p], self.older[1][p]
+            else:
+                new.append((p.encode("utf-8"), p))
+        new.sort()
+        decimal, bytes_of = self.decimal, self.bpe.bytes_of
+        for (_, p), ids in zip(new, self.bpe.encode_sorted([b for b, _ in new]), strict=True):
+            decimals[p], given[p] = b" ".join([decimal[i] for i in ids]), b"".join([bytes_of[i] for i in ids])
+        for pieces in split:
+            yield b" ".join(map(decimals.__getitem__, pieces)), b"".join(map(given.__getitem__, pieces))
 
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes, bytes]:
-        ids = self.bpe.encode_piece(piece.encode("utf-8"))
-        if len(self.kept) >= KEEP_PIECES:
-            self.kept.clear()
-        found = self.kept[piece] = (len(ids), " ".join(map(str, ids)).encode(), self.bpe.decode(ids), array("i", ids).tobytes())
-        return found
+    def ids(self, text: str) -> list[int]:
+        return [int(i) for decimals, _ in self.texts([text]) for i in decimals.split()]
 
-    def pieces(self, text: str) -> list[tuple[int, bytes, bytes, bytes]]:
-        kept, new = self.kept, self._piece
-        return [kept.get(p) or new(p) for p in self.split(text)]
 
-    def ids(self, text: str) -> list[int]:
-        return [int(i) for _, s, _, _ in self.pieces(text) for i in s.split()]
+def _groups(column: pa.Array):
+    """Texts of a column, nulls as empty ones, about GROUP code points together, one text at least."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 _CODEC: dict[str, TextCodec] = {}  # of a Python worker: the codec of the last run, with the pieces it has met
 
 
-def _codec(run_id: str, ranks: dict[bytes, int], pattern: str) -> TextCodec:
+def _codec(run_id: str, vocabulary: PrefixBPE, pattern: str) -> TextCodec:
     if run_id not in _CODEC:
         _CODEC.clear()
-        _CODEC[run_id] = TextCodec(ranks, pattern)
+        _CODEC[run_id] = TextCodec(vocabulary, pattern)
     return _CODEC[run_id]
 
 
@@ -161,23 +228,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text",
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the bytes that the ids give. A null text
     counts as empty: no tokens, and the digests of nothing. Repeated rows give repeated results; other columns are
-    left out. The vocabulary is read by the driver and sent with the task (under 1 MB for 50,000 tokens).
+    left out. The vocabulary is read and prepared by the driver and broadcast (some 3 MB for 50,000 tokens).
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(PrefixBPE(read_ranks(ranks_path)))
     kind, run_id = docs.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches):
-        codec = _codec(run_id, ranks.value, pattern)
+        codec = _codec(run_id, vocabulary.value, pattern)
         for batch in batches:
             n, ids, shas, backs = [], [], [], []
-            for text in batch.column(1):
-                found = codec.pieces(text.as_py() or "")
-                joined = b" ".join([p[1] for p in found])
-                n.append(sum([p[0] for p in found]))
-                shas.append(hashlib.sha256(joined).hexdigest())
-                backs.append(hashlib.sha256(b"".join([p[2] for p in found])).hexdigest())
-                if with_ids:
-                    ids.append(b"".join([p[3] for p in found]))
+            for group in _groups(batch.column(1)):
+                for decimals, given in codec.texts(group):
+                    n.append(decimals.count(b" ") + 1 if decimals else 0)
+                    shas.append(hashlib.sha256(decimals).hexdigest())
+                    backs.append(hashlib.sha256(given).hexdigest())
+                    if with_ids:
+                        ids.append(np.array(decimals.split(), np.int32).tobytes())
             out = {key: batch.column(0), "n_tokens": pa.array(n, pa.int64())}
             if with_ids:
                 edges = np.cumsum([0, *n])
@@ -190,7 +256,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text",
             yield pa.RecordBatch.from_pydict(out | {"ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(backs, pa.string())})
 
     schema = f"{key} {kind}, n_tokens long{', ids array<int>' if with_ids else ''}, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(key), F.col(column).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(column).cast("string")).mapInArrow(trimmed(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:

@@ -156,18 +156,35 @@ def test_components(spark):
     assert got[9] == got[1] == 1 and got[6] == 5 and got[140] == 100 and len(got) == 4 + 2 + 41
 
 
+def small_texts():
+    import pyarrow.parquet as pq
+
+    return [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+
+
 def test_bpe_round_trip_and_edits():
     import public_tokenizers as P
     import tiktoken
 
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     assert ranks == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-    own, lib = bpe.TextCodec(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, lib = bpe.TextCodec(bpe.PrefixBPE(ranks), P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(1)
     texts = ["", "Hello   world\n\n it's  é ß 日本語 123", *("".join(r.choice("abcdeé  \n'st1") for _ in range(300)) for _ in range(30)), "a" * 500, "<|endoftext|>"]
     for t in texts:
         assert own.ids(t) == lib.encode_ordinary(t)
         assert own.bpe.decode(own.ids(t)).decode() == t
+    for t in small_texts():
+        assert own.ids(t) == lib.encode_ordinary(t)
+    tokens = list(own.bpe.bytes_of)
+    for _ in range(20000):  # undoing merges at the border tells the same as merging
+        a, b = r.choice(tokens), r.choice(tokens)
+        x = own.bpe.bytes_of[a]
+        if len(x) > 1 and r.random() < 0.7:
+            k = r.randrange(1, len(x))
+            a, b = ranks.get(x[:k], a), ranks.get(x[k:], b)
+        two = [own.bpe.bytes_of[a], own.bpe.bytes_of[b]]
+        assert own.bpe._beside(a, b) == (own.bpe._merged(b"".join(two), 1 << 60) == two)
     old, new = b"international", b"interactional"
     table_ = own.bpe.extend(old, [])
     assert own.bpe.edit(old, table_, new) == own.bpe.extend(new, [])
