@@ -3,11 +3,12 @@
 Equal vectors are one node; a node keeps its WANTED + 1 smallest ids, which is all that a result can name of it. The
 graph starts from blocks of vectors that lie side by side on a few seeded random projections. Each round joins every
 node with its neighbours and those it is a neighbour of, compares them with each other (neighbours of neighbours), and
-keeps the DEGREE nearest of each node, until a round changes less than the share CHANGED of all edges. Search keeps a pool of the POOL nearest nodes seen for each query and expands
-what it has not expanded, all queries at once, until nothing new comes near; the pool is not a limit on results but the
-width of the search, and recall is measured.
+keeps the DEGREE nearest of each node, until a round changes less than the share CHANGED of all edges. Nodes around
+which the last round brought nothing new aren't compared again. Search keeps a pool of the POOL nearest nodes seen for
+each query and expands what it has not expanded, all queries at once, until nothing new comes near; the pool is not a
+limit on results but the width of the search, and recall is measured.
 
-Distances are Euclidean, in double precision, on the vectors as given. All indexing covers all vectors; nothing is
+Distances are Euclidean, in double precision, on the vectors as given; vectors of floats travel as floats. All indexing covers all vectors; nothing is
 fitted on a sample.
 """
 
@@ -18,24 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, workspace, written
+from .shared import drop_path, shuffle_partitions, trimmed, workspace, written
 
-DEGREE, REVERSE, CHANGED, PROJECTIONS, BLOCK = 24, 24, 0.001, 3, 64
+DEGREE, REVERSE, CHANGED, PROJECTIONS, BLOCK = 32, 32, 0.001, 3, 64
 POOL, WANTED, ENTRIES, SEED = 144, 10, 64, 11
+WAYS_BACK = 96  # of the edges that lead to a node, so many of the shortest are walked the other way by a search
 
 
 def valid(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """key and vec (array of double) of the rows that take part; lengths other than the commonest do not."""
     v = F.col(column)
     fine = v.isNotNull() & F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("vec")).where(F.coalesce(fine, F.lit(False)))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), (v if vectors.schema[column].dataType.elementType.typeName() == "float" else v.cast("array<double>")).alias("vec")).where(F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").limit(1)
     first = sizes.first()
     return rows.where(F.size("vec") == (first["size"] if first else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ class Graph:
         named = self.rows.join(self.nodes.select("node", "hash", F.col("vec").alias("_vec")), "hash").where(F.col("vec") == F.col("_vec")).select("node", "id")
         w = Window.partitionBy("node").orderBy("id")
         self.members = self._write(named.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= WANTED + 1).drop("_n"))
-        self.nodes = self.nodes.drop("hash")
+        self.vec = self.nodes.schema["vec"].dataType.simpleString()
         self.edges = None
 
     def _write(self, df: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ class Graph:
                     line = np.random.default_rng(SEED + k).standard_normal(m.shape[1]) if m.size else np.zeros(0)
                     yield pa.RecordBatch.from_pydict({"node": b.column(0), "at": pa.array(m @ line if m.size else np.zeros(0)), "vec": b.column(1)})
 
-            lined = self.nodes.mapInArrow(project, "node long, at double, vec array<double>").repartitionByRange(self.parts, "at", "node").sortWithinPartitions("at", "node")
+            lined = self.nodes.select("node", "vec").mapInArrow(project, f"node long, at double, vec {self.vec}").repartitionByRange(self.parts, "at", "node").sortWithinPartitions("at", "node")
 
             def inside(batches):
                 ids, rows = np.zeros(0, np.int64), None
@@ -91,17 +93,22 @@ class Graph:
                 if len(ids) > 1:
                     yield _block(ids, rows)
 
-            part = lined.mapInArrow(inside, "a long, b long, d double")
+            part = lined.mapInArrow(trimmed(inside), "a long, b long, d double")
             found = part if found is None else found.unionByName(part)
         self.edges = self._write(self._nearest(found.withColumn("fresh", F.lit(True)), DEGREE))
 
+    def _back(self, most: int) -> DataFrame:
+        """The shortest edges that lead to each node, the other way round."""
+        w = Window.partitionBy("a").orderBy("d", "b")
+        back = self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
+        return back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("a", "b")
+
     def descend(self) -> None:
         """One round: neighbours of neighbours; the edges it brought are fresh."""
-        back = self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
-        w = Window.partitionBy("a").orderBy("d", "b")
-        back = back.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REVERSE).drop("_n")
-        around = self.edges.drop("fresh").unionByName(back).select(F.col("a").alias("of"), F.col("b").alias("node")).distinct()
-        around = around.unionByName(self.nodes.select(F.col("node").alias("of"), "node"))
+        fresh = self.edges.where("fresh")
+        active = fresh.select(F.col("a").alias("of")).unionByName(fresh.select(F.col("b").alias("of"))).distinct()
+        around = self.edges.select("a", "b").unionByName(self._back(REVERSE)).select(F.col("a").alias("of"), F.col("b").alias("node")).distinct()
+        around = around.unionByName(self.nodes.select(F.col("node").alias("of"), "node")).join(active, "of", "left_semi")
         worst = self.edges.groupBy("a").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(float("inf")).alias("worst"))
         known = self.nodes.join(worst.withColumnRenamed("a", "node"), "node", "left").select("node", "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         rows = around.join(known, "node").select("of", "node", "vec", "worst").repartition(self.parts, "of").sortWithinPartitions("of")
@@ -127,7 +134,7 @@ class Graph:
             if of is not None:
                 yield _edges(*_closer(np.concatenate(ids), np.concatenate(rows), np.concatenate(worst)))
 
-        found = rows.mapInArrow(local, "a long, b long, d double").withColumn("fresh", F.lit(True))
+        found = rows.mapInArrow(trimmed(local), "a long, b long, d double").withColumn("fresh", F.lit(True))
         self.edges = self._write(self._nearest(self.edges.withColumn("fresh", F.lit(False)).unionByName(found), DEGREE))
 
     def changed(self) -> float:
@@ -138,23 +145,24 @@ class Graph:
     def build(self) -> Graph:
         self.start()
         while self.changed() > CHANGED:
+            before = self.steps
             self.descend()
-        both = self.edges.select("a", "b").unionByName(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        self.steps_out = self._write(both)
+            drop_path(self.spark, f"{self.folder}/{before}")
+        self.steps_out = self._write(self.edges.select("a", "b").unionByName(self._back(WAYS_BACK)).distinct())
         return self
 
     def search(self, queries: DataFrame, wanted: int = WANTED) -> DataFrame:
         """query_id, rank, vec_id and score of each query's nearest rows other than itself; queries: id, vec.
 
-        The search starts from the query's own node if it has one, and from ENTRIES fixed nodes.
+        The search starts from the node of the query's vector if there is one, and from ENTRIES fixed nodes.
         """
         if wanted > WANTED:
             raise ValueError(f"an index built for {WANTED} results can't give {wanted}")
-        queries = self._write(queries.select(F.col("id").alias("q"), F.col("vec").alias("qvec")))
+        queries = self._write(queries.select(F.col("id").alias("q"), F.col("vec").cast(self.vec).alias("qvec")))
         entry = F.broadcast(self.nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES))  # a fixed number of rows
-        own = self.members.join(self.nodes, "node").select(F.col("id").alias("q"), "node", "vec")
-        first = queries.crossJoin(entry).select("q", "node", F.col("vec"), "qvec").unionByName(queries.join(own, "q").select("q", "node", "vec", "qvec"))
-        distance = F.sqrt(F.aggregate(F.zip_with("vec", "qvec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+        own = queries.withColumn("hash", F.xxhash64("qvec")).join(self.nodes, "hash").where(F.col("vec") == F.col("qvec"))
+        first = queries.crossJoin(entry).select("q", "node", "vec", "qvec").unionByName(own.select("q", "node", "vec", "qvec"))
+        distance = F.sqrt(F.aggregate(F.zip_with("vec", "qvec", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x))
         pool = first.select("q", "node", distance.alias("d")).distinct().withColumn("done", F.lit(False))
         w = Window.partitionBy("q").orderBy("d", "node")
         pool = self._write(pool.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= POOL).drop("_n"))
@@ -167,6 +175,7 @@ class Graph:
             met = met.join(self.nodes, "node").join(queries, "q").select("q", "node", distance.alias("d"), F.lit(False).alias("done"))
             pool = pool.withColumn("done", F.lit(True)).unionByName(met)
             pool = self._write(pool.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= POOL).drop("_n"))
+            drop_path(self.spark, f"{self.folder}/{self.steps - 1}")
         found = pool.join(self.members, "node").where(F.col("id") != F.col("q"))
         rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
         return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= wanted).select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"))

@@ -343,6 +343,21 @@ def test_neighbours(spark):
     assert neighbours.search_table(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding and any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    by = defaultdict(set)
+    for g in queries.QUERIES["op6_nearest"](spark, "/root/testdata/sf0.1").collect():
+        by[g.query_id].add(g.vec_id)
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        d = ((x - x[ids == q]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits += len(by[q] & set(ids[np.lexsort((ids, d))[:10]]))
+    assert hits >= 0.95 * 10 * (ids % 100 == 0).sum()
+
+
 def test_neighbours_descend_until_nothing_changes(spark):
     x = np.random.default_rng(1).standard_normal((3000, 32))
     graph = neighbours.Graph(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).build()
