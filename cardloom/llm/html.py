@@ -21,15 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
+
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 # Names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe object svg canvas math head select button".split())
+RAW = set("script style noscript template textarea title iframe canvas select button".split())
 UNPARSED = set("script style textarea title iframe".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend", "search"}
+END = {tag: re.compile(rf"(?ai:</{tag})") for tag in UNPARSED}
+SCOPE = {"td", "th", "table", "button", "caption"}  # an open p outside of these isn't closed from inside
 SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Attribute tokens that speak against and for main text.
 AGAINST = set("ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu sidebar side aside footer foot header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended more newsletter subscribe signup login search breadcrumb breadcrumbs pagination pager widget toolbar tags meta byline copyright legal disclaimer form contact".split())
@@ -47,11 +51,17 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
-    """Elements in document order, the first being the root, and pieces of text (node number, block number, text)."""
+    """Elements in document order, the first being the root, and pieces of text (node number, block number, text).
+
+    Elements that aren't read (RAW, or hidden) are opened and closed by the same rules as others, but neither they nor
+    what they hold gets a number. A head is no element here: what it may hold isn't read anyway, so a page whose head
+    isn't closed is read like any other.
+    """
     root = Node("html", None, (), 0)
     nodes, stack, pieces = [root], [root], []
+    open_p = [-1]  # for each open element the place of the nearest open p in scope
+    count: dict[str, int] = {}  # open elements by tag
     block, at, skip = 0, 0, None
-    low = None
     n = len(page)
 
     def text(a, b):
@@ -62,11 +72,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             elif pieces and pieces[-1][1] == block:
                 pieces.append((stack[-1].at, block, " "))
 
+    def opened(node):
+        open_p.append(len(stack) if node.tag == "p" else -1 if node.tag in SCOPE else open_p[-1])
+        stack.append(node)
+        count[node.tag] = count.get(node.tag, 0) + 1
+
     def shut(k):
-        nonlocal block
-        if any(x.tag in BLOCK for x in stack[k:]):
+        nonlocal block, skip
+        gone = stack[k:]
+        for x in gone:
+            count[x.tag] -= 1
+            if x is skip:
+                skip = None
+        if skip is None and any(x.tag in BLOCK for x in gone):
             block += 1
-        del stack[k:]
+        del stack[k:], open_p[k:]
 
     while at < n:
         m = TOKENS.search(page, at)
@@ -83,78 +103,64 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "head":
+            continue
         if m[1]:
-            if skip is not None:
-                if tag == skip.tag:
-                    k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i] is skip), None)
-                    skip = None
-                    if k is not None:
-                        shut(k)
-                continue
-            if tag in BLOCK:
+            if tag in BLOCK and skip is None:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    shut(k)
-                    break
-            continue
-        if skip is not None:
+            if count.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                shut(k)
             continue
         if tag == "br" or tag in VOID:
-            if tag == "hr":
-                block += 1
-            elif tag == "br" and pieces:
-                pieces.append((stack[-1].at, block, " "))
+            if skip is None:
+                if tag == "hr":
+                    block += 1
+                elif tag == "br" and pieces:
+                    pieces.append((stack[-1].at, block, " "))
             continue
         if tag in ("html", "body"):
-            block += 1
-            if tag == "body" and len(stack) == 1:
-                pass
-            else:
+            block += skip is None
+            if tag == "html" or len(stack) > 1:
                 continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    shut(k)
-                    break
-                if stack[k].tag in ("td", "th", "table", "button", "caption"):
-                    break
+        if tag in CLOSES_P and open_p[-1] >= 0:
+            shut(open_p[-1])
         if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag or (tag in ("dt", "dd") and stack[k].tag in ("dt", "dd")) or (tag in ("td", "th") and stack[k].tag in ("td", "th")):
+            like = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            if any(count.get(x) for x in like):
+                k = len(stack) - 1
+                while k > 0 and stack[k].tag not in like and stack[k].tag not in SAME[tag]:
+                    k -= 1
+                if k > 0 and stack[k].tag in like:
                     shut(k)
-                    break
-                if stack[k].tag in SAME[tag]:
-                    break
         attrs = m[3]
+        closed = attrs.rstrip().endswith("/") and tag not in BLOCK  # as in <path/>; of others the sign says nothing
+        if tag in UNPARSED:
+            end = END[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = n if close < 0 else close + 1
+            continue
+        if skip is not None or tag in RAW or ("hidden" in attrs or "none" in attrs) and HIDDEN_ATTR.search(attrs):
+            if not closed:
+                node = Node(tag, None, ())
+                if skip is None:
+                    skip = node
+                opened(node)
+            continue
         found = []
         if "=" in attrs:
             for a in ATTRS.finditer(attrs):
                 found += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a[1] or a[2] or a[3] or "").lower())
         node = Node(tag, stack[-1], tuple(found))
-        if tag in RAW or ("hidden" in attrs or "none" in attrs) and HIDDEN_ATTR.search(attrs):
-            if tag in UNPARSED:
-                if low is None:
-                    low = page.lower()
-                end = low.find(f"</{tag}", at)
-                if end < 0:
-                    at = n
-                else:
-                    close = page.find(">", end)
-                    at = n if close < 0 else close + 1
-                continue
-            if attrs.rstrip().endswith("/"):
-                continue
-            skip = node
-            stack.append(node)
-            continue
         if tag in BLOCK:
             block += 1
         stack[-1].kids.append(node)
         node.at = len(nodes)
         nodes.append(node)
-        if not attrs.rstrip().endswith("/") or tag not in VOID:
-            stack.append(node)
+        if not closed:
+            opened(node)
     return nodes, pieces
 
 
@@ -458,7 +464,7 @@ def extract(pages: DataFrame, model: Trees | None = None, column: str = "html")
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*batch.schema.names, "text", "n_chars"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return kept.mapInArrow(trimmed(run), f"{fields}, text string, n_chars long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

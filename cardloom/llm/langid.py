@@ -1,9 +1,10 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed n-grams (1 to 3 UTF-8 bytes of the ASCII-lower-cased text, digits and punctuation folded
-to a space) of each language in one pass over the training rows; each task sends one row of counts for each language
-it met. The model is a matrix of log probabilities (languages x buckets), of fixed size whatever the corpus, and is
-broadcast. Scoring turns each text into a sparse count vector and multiplies it with the matrix.
+Training counts the hashed n-grams (1 to 3 characters; ASCII letters lower-cased, other ASCII characters folded to a
+space) of each language in one pass over the training rows; each task sends one row of counts for each language it met,
+and these are added up in two levels. The model is a matrix of log probabilities (languages x buckets) of CELLS cells
+at most whatever the corpus, and is broadcast: with very many languages there are fewer buckets. Scoring turns each text
+into a sparse count vector and multiplies it with the matrix.
 """
 
 from __future__ import annotations
@@ -13,37 +14,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, text_buffers
+from .shared import slices, text_buffers, trimmed
 
 BUCKETS = 1 << 14
-MOST_LANGS = 512  # bound of the broadcast matrix: 512 * 2**14 * 4 bytes = 32 MB
+CELLS = 1 << 23  # bound of the broadcast matrix: 32 MB, 512 languages at 2**14 buckets
+SALTS = 64  # parts in which a language's counts are added up first
 SMOOTH = 0.5
 
-# Bytes: A-Z fold to a-z, other ASCII that is no letter to a space; bytes above 127 stay.
-FOLD = np.arange(256, dtype=np.int64)
-FOLD[:128] = 32
-FOLD[97:123] = np.arange(97, 123)
-FOLD[65:91] = np.arange(97, 123)
+# Code points: A-Z fold to a-z, other ASCII that is no letter to a space; those above 127 stay.
+FOLD = np.full(128, 32, np.uint64)
+FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of every n-gram inside a text, and the number of its text."""
-    b = FOLD[data]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    """The bucket of every n-gram inside a text, and the number of its text; buckets is a power of two."""
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    first = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # characters before each byte
+    b = np.where(points < 128, FOLD[np.minimum(points, 127)], points.astype(np.uint64))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first[offsets]))
     found, rows = [], []
-    code = np.zeros(len(b), np.int64)
+    code, space, shift = np.zeros(len(b), np.uint64), b == 32, np.uint64(64 - (buckets.bit_length() - 1))
     for n in (1, 2, 3):
         m = len(b) - n + 1
         if m <= 0:
             break
-        code = code[:m] * 257 + b[n - 1 :] + 1
+        code = (code[:m] << np.uint64(21)) + b[n - 1 :] + np.uint64(1)  # a code point has 21 bits at most
         inside = row[:m] == row[n - 1 :]
         if n == 2:
-            inside &= (b[:m] != 32) | (b[1:] != 32)
+            inside &= ~(space[:m] & space[1:])
         elif n == 3:
-            inside &= (b[1 : m + 1] != 32) | ((b[:m] != 32) & (b[2:] != 32))
-        h = (code[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
-        found.append((h % np.uint64(buckets)).astype(np.int64))
+            inside &= ~space[1 : m + 1] | ~(space[:m] | space[2:])
+        h = code[inside]
+        h ^= h >> np.uint64(31)
+        found.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64))
         rows.append(row[:m][inside])
     return (np.concatenate(found), np.concatenate(rows)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -52,6 +55,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     """Languages and the matrix of log P(bucket | language), learned from all rows with a text and a language.
 
     Priors are uniform: how often a language was crawled says nothing about one text. No rows give no languages.
+    There are ``buckets`` buckets (a power of two), or as many fewer as keep the matrix within CELLS cells.
     """
 
     def count(batches):
@@ -71,23 +75,23 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(totals), pa.string()), "counts": pa.array([v.astype("<i8").tobytes() for v in totals.values()], pa.binary())})
 
     known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string"))
-    parts = known.mapInArrow(count, "lang string, counts binary")
+    n = rows.where(F.col(text).isNotNull()).agg(F.count_distinct(F.col(lang).cast("string"))).first()[0]
+    while buckets > 2 and n * buckets > CELLS:
+        buckets //= 2
+    parts = known.mapInArrow(trimmed(count), "lang string, counts binary")
 
     def add(batches):
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[name] = sums.get(name, 0) + np.frombuffer(blob, "<i8")
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())})
 
-    sums: dict[str, np.ndarray] = {}
-    # partial sums in a few tasks first, so that the driver adds a bounded number of matrices
-    merged = parts.repartition(8).mapInArrow(add, "lang string, counts binary").collect()
-    total: dict[str, np.ndarray] = {}
-    for r in merged:
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
-    if len(total) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
+    for keys in ((F.col("lang"), salt), (F.col("lang"),)):  # a row of each language is left, which the driver collects
+        parts = parts.repartition(*keys).mapInArrow(add, "lang string, counts binary")
+    total = {r["lang"]: np.frombuffer(r["counts"], "<i8") for r in parts.collect()}
     names = sorted(total)
     if not names:
         return [], np.zeros((0, buckets), np.float32)
@@ -136,7 +140,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.where(letters, p, 0.0), pa.float64())})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")
 
 
 def _heads(column):
