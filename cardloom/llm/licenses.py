@@ -120,15 +120,16 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: fl
     listed = F.array(*[F.lit(w) for w in postings])
     at = F.filter(F.transform(F.col("_w"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(listed, x["w"]))
     votes = F.flatten(F.transform(at, lambda x: F.transform(index[x["w"]], lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["i"]).cast("int").alias("start"), q["v"].alias("idf")))))
-    # the largest sum of votes for one template whose starts lie close together, found in one walk over sorted votes
+    # the largest sum of votes for one template whose starts lie close together: a window slides over the sorted votes
     df = df.withColumn("_v", F.when(F.size("_w") > 0, F.sort_array(votes)).otherwise(F.array().cast(f"array<{vote}>")))
+
     def step(acc, v):
-        near = v["start"] - acc["start"] <= SLACK
-        total = F.when(near, acc["sum"] + v["idf"]).otherwise(v["idf"])
-        return F.struct(F.when(near, acc["start"]).otherwise(v["start"]).alias("start"), total.alias("sum"), F.greatest(acc["best"], total).alias("best"))
+        near = F.filter(F.concat(acc["near"], F.array(v)), lambda x: x["start"] >= v["start"] - SLACK)
+        total = F.aggregate(near, F.lit(0.0), lambda a, x: a + x["idf"])
+        return F.struct(near.alias("near"), F.greatest(acc["best"], total).alias("best"))
 
     def alignment(k: int) -> Column:
-        zero = F.struct(F.lit(-(1 << 30)).alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        zero = F.struct(F.array().cast(f"array<{vote}>").alias("near"), F.lit(0.0).alias("best"))
         return F.aggregate(F.filter("_v", lambda v: v["t"] == k), zero, step, lambda acc: F.least(F.lit(1.0), acc["best"] / F.lit(totals[k])))
 
     hits = []

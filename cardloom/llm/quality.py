@@ -27,7 +27,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words in repeated 3-word windows: each window's 64-bit hash gives its upper 44 bits, and its position the 20 lower
     ones of a number; sorted, equal windows are neighbours, and neighbours are equal if their full hashes are. Texts of
-    more than 2**20 words sort pairs of hash and position instead, which is slower.
+    more than 2**20 words, and those with different windows of equal upper bits, sort pairs of hash and position
+    instead, which is slower.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     df = docs.drop(*STATS, "n_upper", "n_shout", "n_lines").withColumn("_w", F.filter(F.split(raw, SPACE + "+"), lambda w: w != ""))
@@ -39,17 +40,18 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_h", hashes).withColumn("_lines", lines)
     h = F.col("_h")
     low = (1 << 20) - 1
-    packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(~low).bitwiseOR(i.cast("long"))))
-    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn("_s", F.when(n <= low, packed).otherwise(F.transform(pairs, lambda x: x["i"].cast("long"))))
-    s = F.col("_s")
-    # after sorting only positions matter
-    df = df.withColumn("_s", F.transform(s, lambda x: F.when(F.size("_w") <= low, x.bitwiseAND(low)).otherwise(x).cast("int")))
+    upper = F.transform(h, lambda x: x.bitwiseAND(~low))
+    packed = F.transform(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(~low).bitwiseOR(i.cast("long")))), lambda x: x.bitwiseAND(low).cast("int"))
+    pairs = F.transform(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda x: x["i"])
+    none = F.array().cast("array<int>")
+    df = df.withColumn("_d", F.size(F.array_distinct("_h")))
+    apart = (n <= low) & (F.size(F.array_distinct(upper)) == F.col("_d"))
+    # after sorting only positions matter; a text in which no window is repeated needs no sorting and no walk
+    df = df.withColumn("_s", F.when(F.size("_h") == F.col("_d"), none).when(apart, packed).otherwise(pairs))
     s = F.col("_s")
     same = lambda a, b: F.get(h, a) == F.get(h, b)
     repeated = F.filter(s, lambda x, i: F.coalesce((i > 0) & same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-    # a text in which no window is repeated needs no walk
-    df = df.withColumn("_r", F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.sort_array(repeated)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_r", F.sort_array(repeated))
     covered = F.aggregate(F.col("_r"), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     out = {
         "n_words": n,
@@ -61,7 +63,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_shout": gone("!"),
         "n_lines": F.size("_lines"),
     }
-    return df.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_w", "_h", "_s", "_r", "_lines")
+    return df.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_w", "_h", "_d", "_s", "_r", "_lines")
 
 
 def base_failed() -> Column:
@@ -156,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     # no filter on computed columns here: it would be pushed below them and repeat their work
-    rows = found.select(*[feature(f).alias(f) for f in FEATURES], base_failed().alias("failed"), "_quality", "doc_id").collect()
+    seen = F.struct(base_failed().alias("failed"), *[feature(f).alias(f) for f in FEATURES])
+    # one of the rows that share an id: the driver gets ``most`` rows at most
+    rows = found.select("doc_id", "_quality", seen.alias("s")).groupBy("doc_id", "_quality").agg(F.min("s").alias("s")).select("doc_id", "_quality", "s.*").collect()
     rows = sorted((r for r in rows if not r["failed"]), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))[:most]
     return learn([({f: r[f] for f in FEATURES}, r["_quality"] == 0) for r in rows])
 

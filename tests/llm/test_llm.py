@@ -269,6 +269,28 @@ def test_licences(spark):
     assert [got[n + k].labels for k in (0, 1, 3, 4, 5)] == ["mit", "mit", "cc-by,cc-by-nc", "", "apache,apache-2.0"]
 
 
+def test_licence_votes_against_brute_force(spark):
+    # template words with others between them; the best window of starts, by trying each
+    r, texts = random.Random(3), []
+    for _ in range(150):
+        words = r.choice(licenses.TEMPLATES)[2].split()
+        out = []
+        for w in words:
+            out += [r.choice(VOCAB) for _ in range(r.choice([0, 0, 0, 0, 0, 1, 3]))] + [w] * r.choice([0, 1, 1, 1, 1, 1, 1, 1, 2])
+        texts.append(" ".join(out))
+    postings, totals = licenses.build_index()
+    got = {x.doc_id: x for x in licenses.scan(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w, want = t.split(), set()
+        for k, (label, phrases, _) in enumerate(licenses.TEMPLATES):
+            votes = [(j - q, v) for j, x in enumerate(w) for kk, q, v in postings.get(x, []) if kk == k]
+            best = max((sum(v for s, v in votes if 0 <= s - a <= licenses.SLACK) for a, _ in votes), default=0.0)
+            if best / totals[k] >= licenses.THRESHOLD - 1e-9 and all(f" {p} " in f" {t} " for p in phrases):
+                want.add(label)
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == want | base, (i, t)
+
+
 def test_mixing(spark):
     docs = table(spark, [WORDS(20 + i % 7) for i in range(200)] + ODD)
     rows = mixing.mix(docs, 50, 3).collect()
