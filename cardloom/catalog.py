@@ -90,7 +90,7 @@ def _(t):
     return C.board(t.kj_groups, t.cards)
 
 
-@query("kj_palette", "SELECT id, [" + ", ".join(f"'{c}'" for c in T.PALETTE) + "][((row_number() OVER (ORDER BY seq) - 1) % 8) + 1] AS color FROM kj_groups")
+@query("kj_palette", "SELECT id, ['#FF6B6B', '#FFD93D', '#6BCB77', '#4D96FF', '#C77DFF', '#FF9A3C', '#00C9A7', '#F72585'][((row_number() OVER (ORDER BY seq) - 1) % 8) + 1] AS color FROM kj_groups")
 def _(t):
     return C.palette(t.kj_groups).select("id", "color")
 
@@ -189,9 +189,9 @@ def _(t):
 # ---------------------------------------------------------------- articles and candidates
 
 
-@query("articles_recent", "SELECT id, published_on::VARCHAR AS published FROM articles ORDER BY published_on DESC, updated_on DESC, id LIMIT 100")
+@query("articles_recent", "SELECT id, published_on::VARCHAR AS published FROM articles ORDER BY published_on DESC, updated_on DESC, id")
 def _(t):
-    return t.articles.orderBy(F.desc("published_on"), F.desc("updated_on"), "id").limit(100).select("id", F.col("published_on").cast("string").alias("published"))
+    return t.articles.orderBy(F.desc("published_on"), F.desc("updated_on"), "id").select("id", F.col("published_on").cast("string").alias("published"))
 
 
 @query("article_lookup", "SELECT id, title FROM articles WHERE id = '7' OR url = 'https://example.test/9'")
@@ -211,7 +211,7 @@ def _(t):
     return t.articles.where("candidate_status = 'reviewed'").orderBy(F.desc("first_seen_on"), "id").select("id", F.col("first_seen_on").cast("string").alias("first_seen"))
 
 
-@query("candidate_view", """SELECT id, candidate_status, coalesce(first_seen_on, updated_on)::VARCHAR AS first_seen, coalesce(reviewed_on, updated_on)::VARCHAR AS last_seen,
+@query("candidate_view", """SELECT id, candidate_status, coalesce(first_seen_on, updated_on)::VARCHAR AS first_seen, coalesce(last_fetched_on, updated_on)::VARCHAR AS last_seen,
 CAST(CASE WHEN tags_json LIKE '[%' THEN json_array_length(tags_json) ELSE 0 END AS BIGINT) AS n_tags FROM articles""")
 def _(t):
     return L.candidate_view(t.articles).withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
@@ -282,9 +282,9 @@ def _(t):
     return files.union_all([df.agg(F.lit(n).alias("relation"), F.count("*").alias("n")) for n, df in zip(("cards", "tags", "links"), out, strict=True)])
 
 
-@query("jobs_recent", "SELECT id, type, status, result_json FROM jobs ORDER BY seq DESC LIMIT 100")
+@query("jobs_recent", "SELECT id, type, status, result_json FROM jobs ORDER BY seq DESC")
 def _(t):
-    return t.jobs.orderBy(F.desc("seq")).limit(100).select("id", "type", "status", "result_json")
+    return t.jobs.orderBy(F.desc("seq")).select("id", "type", "status", "result_json")
 
 
 @query("job_recovery", "SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status FROM jobs")
@@ -333,12 +333,12 @@ def _(t):
     return t.articles.select("id", T.infer_source(id_, F.expr("case when doc_id % 4 = 0 then source when doc_id % 4 = 1 then '' end")).alias("inferred"))
 
 
-@query("mojibake", "SELECT doc_id, regexp_matches(text, '�|â€|縺|繧|譁') AS bad FROM documents")
+@query("mojibake", "SELECT doc_id, regexp_matches(text, '\uFFFD|Ã.|Â.|ã.|繧|縺|譁') AS bad FROM documents")
 def _(t):
     return t.base("documents").select("doc_id", T.looks_mojibake(F.col("text")).alias("bad"))
 
 
-@query("encoding_scan", r"SELECT doc_id, regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]|�|â€|縺|繧|譁') AS bad FROM documents")
+@query("encoding_scan", "SELECT doc_id, regexp_matches(text, '" + T.CONTROL + "|\uFFFD|\u7E3A|\u8B41|\u9AEB|\u8373|\u8737|\u9666|\u9060|\u9695|\u7E67|\u7E5D|\u00E3|\u00C2|\u00C3') AS bad FROM documents")
 def _(t):
     return t.base("documents").select("doc_id", T.bad_encoding(F.col("text")).alias("bad"))
 
@@ -444,7 +444,7 @@ RANK = (*TOKENS, *rank_sql(MODE))
 six = lambda c: F.round(c, 6).alias(c)
 
 
-@query("bm25_rank", "SELECT id, round(bm25, 6) AS bm25, round(context, 6) AS context, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, id LIMIT 50", *RANK)
+@query("bm25_rank", "SELECT id, round(bm25, 6) AS bm25, round(context, 6) AS context, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY round(scored.score, 9) DESC, id LIMIT 50", *RANK)
 def _(t):
     return R.ranked(t.articles, MODE, AS_OF).select("id", six("bm25"), six("context"), six("score"))
 
@@ -460,7 +460,7 @@ def _(t):
     return s.select("id", (F.col("score") < 0.5).alias("below"), F.when(F.col("score") < 0.5, F.format_string("score %.3f < %.3f", F.col("score"), F.lit(0.5))).alias("reason"))
 
 
-@query("rank_two_stage_limit", "SELECT id, row_number() OVER (ORDER BY score < 0.5, score DESC, id) AS position FROM scored WHERE score > 0 ORDER BY score < 0.5, score DESC, id LIMIT 80", *RANK)
+@query("rank_two_stage_limit", "SELECT id, row_number() OVER (ORDER BY round(score, 9) < 0.5, round(score, 9) DESC, id) AS position FROM scored WHERE score > 0 ORDER BY position LIMIT 80", *RANK)
 def _(t):
     return R.two_stage(R.scored(t.articles, MODE, AS_OF).where("score > 0"), 0.5, 80).select("id", F.col("position").cast("long").alias("position"))
 
@@ -468,7 +468,7 @@ def _(t):
 @query("rank_stats", "SELECT (SELECT count(*) FROM scored WHERE score >= 0.5) AS active, (SELECT count(*) FROM scored WHERE score > 0 AND score < 0.5) AS below, round((SELECT avg(score) FROM (SELECT score FROM scored WHERE score >= 0.5 ORDER BY score DESC LIMIT 50)), 6) AS mean_score", *RANK)
 def _(t):
     s = R.scored(t.articles, MODE, AS_OF).where("score > 0")
-    top = s.where("score >= 0.5").orderBy(F.desc("score"), "id").limit(50).agg(F.round(F.avg("score"), 6).alias("mean_score"))
+    top = s.where("score >= 0.5").orderBy(*R.by("score")).limit(50).agg(F.round(F.avg("score"), 6).alias("mean_score"))
     return s.agg(F.count_if(F.col("score") >= 0.5).alias("active"), F.count_if(F.col("score") < 0.5).alias("below")).crossJoin(F.broadcast(top))
 
 
@@ -566,11 +566,25 @@ def _(t):
     return R.fts(R.tokenised(t.articles), ["with", "from"]).select("id", six("fts"))
 
 
-@query("hybrid_rank", """SELECT b.id, round(0.7 * score / (SELECT max(score) FROM base) + 0.3 * coalesce(p.place, 0), 6) AS hybrid FROM base b LEFT JOIN place p ON p.id = b.id ORDER BY 0.7 * score / (SELECT max(score) FROM base) + 0.3 * coalesce(p.place, 0) DESC, b.id LIMIT 50""",
-       *RANK, *FTS, "base AS (SELECT id, score FROM scored WHERE score > 0)", "place AS (SELECT id, 1 - (row_number() OVER (ORDER BY fts DESC, id) - 1) / count(*) OVER () AS place FROM (SELECT * FROM fts ORDER BY fts DESC, id LIMIT 500))")
+@query("hybrid_rank", """SELECT b.id, round(0.7 * score / (SELECT max(score) FROM base) + 0.3 * coalesce(p.place, 0), 6) AS hybrid FROM base b LEFT JOIN place p ON p.id = b.id""",
+       *RANK, *FTS, "base AS (SELECT id, score FROM scored WHERE round(score, 9) >= 0.5 ORDER BY round(score, 9) DESC, id LIMIT 50)", "place AS (SELECT id, 1 - (row_number() OVER (ORDER BY round(fts, 9) DESC, id) - 1) / count(*) OVER () AS place FROM fts)")
 def _(t):
-    base = R.scored(t.articles, MODE, AS_OF).where("score > 0").select("id", "score")
-    return R.hybrid(base, R.fts(R.tokenised(t.articles), ["with", "from"])).select("id", six("hybrid"))
+    tokens = R.index(t.articles)
+    base = R.two_stage(R.scored(tokens, MODE, AS_OF).where("score > 0"), 0.5, 50).where("not below").select("id", "score")
+    return R.hybrid(base, R.fts(tokens, ["with", "from"])).select("id", six("hybrid"))
+
+
+@query("rank_pipeline")
+def _(t):
+    return R.pipeline(t.articles, MODE, AS_OF).select("id", "title", "below", F.col("position").cast("long").alias("position"), six("score"))
+
+
+@query("index_sync", """SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'changed' ELSE 'kept' END AS was, (SELECT count(*) FROM ng WHERE ng.id = a.id) AS n_terms FROM articles a""", *TOKENS)
+def _(t):
+    # each article is new, changed or as it was: the index after an upkeep by content hash
+    was = F.expr("case doc_id % 3 when 0 then 'new' when 1 then 'changed' else 'kept' end")
+    old = R.index(t.articles.withColumn("body", F.when(was == "changed", F.concat("body", F.lit(" old"))).otherwise(F.col("body"))).where(was != "new"))
+    return R.index(t.articles, old).join(t.articles.select("id", was.alias("was")), "id").select("id", "was", F.size("ngram").cast("long").alias("n_terms"))
 
 
 @query("index_rebuild", "SELECT id, count(*) AS n_terms FROM ng GROUP BY id", *TOKENS)
@@ -594,26 +608,29 @@ def _(t):
 # ---------------------------------------------------------------- near duplicates
 
 PAIRS = ("sh AS (SELECT DISTINCT id, substr(s, i, 5) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 3)) AS i FROM (SELECT id, lower(title || ' ' || substr(body, 1, 500)) AS s FROM articles) WHERE length(s) >= 5))",
-         "sn AS (SELECT id, count(*) AS n FROM sh GROUP BY id)",
-         "pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY ALL)",
-         "dup AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM pairs JOIN sn x ON x.id = a JOIN sn y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.8)")
+         "sig AS (SELECT a.id, coalesce(string_agg(g, chr(0) ORDER BY g), '') AS s FROM articles a LEFT JOIN sh ON sh.id = a.id GROUP BY a.id)",
+         "rep AS (SELECT s, min(id) AS id FROM sig GROUP BY s)",
+         "rs AS (SELECT sh.* FROM sh JOIN rep ON rep.id = sh.id)",
+         "sn AS (SELECT id, count(*) AS n FROM rs GROUP BY id)",
+         "pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM rs a JOIN rs b ON a.g = b.g AND a.id < b.id GROUP BY ALL)",
+         "near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM pairs JOIN sn x ON x.id = a JOIN sn y ON y.id = b)",
+         "dup AS (SELECT * FROM near WHERE jaccard >= 0.8 UNION ALL SELECT rep.id, sig.id, 1.0 FROM sig JOIN rep ON sig.s = rep.s WHERE sig.id <> rep.id)")
 
 
 @query("dup_pairs_exact", "SELECT a, b, round(jaccard, 6) AS jaccard FROM dup", *PAIRS)
 def _(t):
-    return D.exact_pairs(D.shingled(t.articles), 0.8).select("a", "b", six("jaccard"))
+    return D.duplicates(t.articles, 0.8, exact=True).select("a", "b", six("jaccard"))
 
 
-@query("lsh_pairs", "SELECT a, b, round(jaccard, 6) AS jaccard FROM dup WHERE jaccard >= 0.9", PAIRS[0], PAIRS[1], PAIRS[2], PAIRS[3])
+@query("lsh_pairs", "SELECT a, b, round(jaccard, 6) AS jaccard FROM dup WHERE jaccard >= 0.9", *PAIRS)
 def _(t):
-    sets = D.shingled(t.articles)
-    return D.verified(D.lsh_pairs(sets), sets, 0.9).select("a", "b", six("jaccard"))
+    return D.duplicates(t.articles, 0.9).select("a", "b", six("jaccard"))
 
 
 @query("dup_recall")
 def _(t):
-    sets = D.shingled(t.articles)
-    exact, found = D.exact_pairs(sets, 0.8), D.lsh_pairs(sets)
+    sets, _ = D.classes(D.shingled(t.articles))
+    exact, found = D.exact_pairs(sets, 0.8), D.lsh_pairs(sets, 0.8)
     hit = exact.join(found, ["a", "b"], "left_semi").agg(F.count("*").alias("hit"))
     return exact.agg(F.count("*").alias("exact")).crossJoin(F.broadcast(hit)).withColumn("recall", F.when(F.col("exact") == 0, 1.0).otherwise(F.col("hit") / F.col("exact")))
 
@@ -698,15 +715,15 @@ def _(t):
     return got.groupBy("source").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("csv_import", "SELECT title, trim(body) AS body, 'csv,import' AS tags FROM cards WHERE trim(title) <> '' AND trim(title) = title")
+@query("csv_import", "SELECT trim(title) AS title, trim(body) AS body, 'csv,import' AS tags FROM cards WHERE trim(title) <> '' AND trim(body) <> ''")
 def _(t):
-    rows = t.cards.where("trim(title) <> '' and trim(title) = title").select("title", F.col("body").alias("Content"), F.lit("csv、 import,csv").alias("TAG"))
+    rows = t.cards.where("trim(title) <> '' and trim(body) <> ''").select("title", F.col("body").alias("Content"), F.lit("csv、 import,csv").alias("TAG"))
     return files.from_columns(rows).select("title", "body", F.array_join("tags", ",").alias("tags"))
 
 
-@query("json_import", "SELECT * FROM (VALUES ('First', 'text one', 'a,b'), ('Data 2', 'two', '')) v(title, body, tags)")
+@query("json_import", "SELECT * FROM (VALUES ('First', 'text one', 'a,b'), ('Data 2', 'text: \"two\"', ''), ('Solo', 'Solo', '')) v(title, body, tags)")
 def _(t):
-    text = '{"items":[{"name":" First ","content":"text one","tags":["a","b","a"]},{"text":"two"}]}'
+    text = '{"items":[{"NAME":" First ","content":"text one","tags":["a","b","a"]},{"text":"two"},{"headline":"Solo"}]}'
     return files.from_json(t.spark.range(1).select(F.lit(text).alias("text"))).select("title", "body", F.array_join("tags", ",").alias("tags"))
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Character ranges of Japanese script, and tokens that a wrong decoding leaves.
+# Character ranges of Japanese script; what a wrong decoding leaves, for texts and for the wider scan;
+# colours of groups.
 CJK = r"぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
 TOKEN = r"[\p{L}\p{N}_]+"
-MOJIBAKE = ["�", "Ã[\u0080-¿]", "â€", "ã[\u0080-¿]", "縺", "繧", "譁"]
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
-PALETTE = ["#FF6B6B", "#4D96FF", "#6BCB77", "#FFD93D", "#9D4EDD", "#FF9F1C", "#2EC4B6", "#E71D36"]
+MOJIBAKE = ["\uFFFD", "Ã.", "Â.", "ã.", "繧", "縺", "譁"]
+SCANNED = ["\uFFFD", "\u7E3A", "\u8B41", "\u9AEB", "\u8373", "\u8737", "\u9666", "\u9060", "\u9695", "\u7E67", "\u7E5D", "\u00E3", "\u00C2", "\u00C3"]
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+PALETTE = ["#FF6B6B", "#FFD93D", "#6BCB77", "#4D96FF", "#C77DFF", "#FF9A3C", "#00C9A7", "#F72585"]
 DEFAULT_GROUP_COLOR = "#4D96FF"
 
 
@@ -24,8 +26,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalize(c: Column) -> Column:
-    """NFKC, lower case, trimmed; ASCII rows never leave the JVM."""
-    return F.trim(F.lower(F.when(c.rlike(r"[^\x00-\x7f]"), _nfkc(c)).otherwise(c)))
+    """NFKC, lower case, trimmed; of ASCII rows only a null is sent to Python."""
+    wide = F.when(c.rlike(r"[^\x00-\x7f]"), c)
+    return F.trim(F.lower(F.coalesce(_nfkc(wide), c)))
 
 
 def tokens(c: Column) -> Column:
@@ -45,7 +48,7 @@ def stored_tokens(text: Column) -> tuple[Column, Column]:
     """(morphological, n-gram) tokens: runs by script, and their set with bigrams of Japanese runs."""
     morph = tokens(text)
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{CJK}]{{2,}})"), 1)
-    return morph, bigrams(F.concat(morph, runs))
+    return morph, F.when(text.rlike(f"[{CJK}]"), bigrams(F.concat(morph, runs))).otherwise(F.array_distinct(morph))
 
 
 def phrase_weight(weight: float, n_tokens: int) -> float:
@@ -58,7 +61,7 @@ def looks_mojibake(c: Column) -> Column:
 
 
 def bad_encoding(c: Column) -> Column:
-    return looks_mojibake(c) | c.rlike(CONTROL)
+    return c.rlike("|".join(SCANNED)) | c.rlike(CONTROL)
 
 
 def strip_html(c: Column, most: int = 1200) -> Column:
@@ -84,6 +87,13 @@ def shingles(title: Column, body: Column, k: int = 5, head: int = 500) -> Column
     return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(title: Column, body: Column, k: int = 5, head: int = 500) -> Column:
+    """The sorted distinct 64-bit hashes of the shingles."""
+    s = F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, head)))
+    every = F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.xxhash64(F.substring(s, i, F.lit(k))))
+    return F.when(F.length(s) >= k, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<bigint>"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Intersection over union; two empty sets are equal."""
     union = F.size(F.array_union(a, b))

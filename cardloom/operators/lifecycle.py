@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-KEPT = ["created_on", "first_seen_on", "candidate_status", "reviewed_on", "saved_card_id"]
+KEPT = ["created_on", "first_seen_on", "candidate_status", "reviewed_on", "saved_on", "expired_on", "saved_card_id", "candidate_score", "candidate_match_reason"]
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, order: str = "seq") -> DataFrame:
@@ -61,7 +61,7 @@ def retention(candidates: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def candidate_view(articles: DataFrame) -> DataFrame:
-    return articles.select("id", "candidate_status", F.coalesce("first_seen_on", "updated_on").alias("first_seen"), F.coalesce(F.col("reviewed_on"), F.col("updated_on")).alias("last_seen"), F.size(T.json_strings(F.col("tags_json"))).cast("long").alias("n_tags"))
+    return articles.select("id", "candidate_status", F.coalesce("first_seen_on", "updated_on").alias("first_seen"), F.coalesce("last_fetched_on", "updated_on").alias("last_seen"), F.size(T.json_strings(F.col("tags_json"))).cast("long").alias("n_tags"))
 
 
 def recovered(jobs: DataFrame) -> DataFrame:

@@ -27,8 +27,45 @@ class Mode:
     morph_weight: float = 0.3
 
 
-# The three presets (k1, b, decay a day, context bonus).
-PRESETS = {"balanced": (1.5, 0.75, 0.05, 1.3), "archive": (1.2, 0.75, 0.02, 1.3), "news": (1.5, 0.5, 0.15, 1.3)}
+# The three presets (k1, b, decay a day, context bonus, weights of the two signals) and their keywords.
+PRESETS = {
+    "impl": (1.2, 0.5, 0.05, 1.5, 0.75, 0.25),
+    "theory": (1.8, 0.8, 0.02, 2.2, 0.35, 0.65),
+    "trend": (1.5, 0.75, 0.15, 1.8, 0.35, 0.65),
+}
+PRESET_KEYWORDS = {
+    "impl": [
+        ("実装", 2.0, ["implementation", "コード", "code"]),
+        ("github", 1.8, ["pr", "pullrequest", "コミット", "commit"]),
+        ("ライブラリ", 1.6, ["パッケージ", "package", "npm", "pip"]),
+        ("バグ", 1.4, ["エラー", "error", "exception", "例外"]),
+        ("パフォーマンス", 1.2, ["速度", "最適化", "optimization"]),
+        ("理論", 0.5, ["数式", "定理"]),
+        ("潮流", 0.4, ["動向", "トレンド"]),
+    ],
+    "theory": [
+        ("定理", 2.0, ["theorem", "補題", "lemma", "命題"]),
+        ("arxiv", 1.9, ["論文", "paper", "preprint"]),
+        ("証明", 1.7, ["proof", "仮説", "hypothesis"]),
+        ("引用", 1.4, ["参考文献", "reference", "citation"]),
+        ("実装", 0.6, ["コード"]),
+        ("ニュース", 0.3, ["動向"]),
+    ],
+    "trend": [
+        ("リリース", 2.0, ["発表", "launch", "announce"]),
+        ("プロダクト", 1.9, ["サービス", "product", "service"]),
+        ("市場", 1.5, ["業界", "industry", "market"]),
+        ("資金調達", 1.3, ["funding", "シリーズ", "ipo"]),
+        ("数式", 0.3, ["定理"]),
+        ("古典", 0.2, []),
+    ],
+}
+
+
+def preset(name: str) -> Mode:
+    """A preset by name, with its keywords."""
+    k1, b, decay, bonus, morph, ngram = PRESETS[name]
+    return Mode(k1, b, decay, bonus, [Keyword(*k) for k in PRESET_KEYWORDS[name]], ngram, morph)
 
 
 @dataclass

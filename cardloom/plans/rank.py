@@ -1,7 +1,9 @@
 """Two-signal BM25 ranking as one DataFrame plan.
 
-Only the query's terms are counted in each document, as row expressions; corpus statistics are one aggregated row. So a
-ranking scans the token arrays, shuffles partial aggregates and the top rows, and nothing else.
+Only the query's terms are counted in each document, as row expressions; the counts are written as a slim table without
+texts, and corpus statistics are one aggregated row. So a ranking scans the tokens once, shuffles partial aggregates and
+the top rows, and fetches the texts of the top rows alone. Orders are by scores rounded to PLACES decimals, then by id,
+so that the last digits of sums decide nothing.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.dedup import deduplicated
+from ..session import checkpointed
 from . import query as Q
 
-WINDOW = 50
+WINDOW, PLACES = 50, 9
 
 
 def _total(columns: list[Column]) -> Column:
@@ -57,16 +61,17 @@ def cooccurrence() -> Column:
 
 
 def scored(docs: DataFrame, mode: Q.Mode, as_of: str, floor: float = 0.35) -> DataFrame:
-    """docs (id, title, body, published_on) with score and its parts; documents without a hit score 0.
+    """id, published_on, score and its parts of docs (id, title, body, published_on); without a hit the score is 0.
 
-    No keywords give no rows.
+    docs may hold morph and ngram already (see index()); then no text is read. No keywords give no rows.
     """
     if not Q.query_tokens(mode.keywords):
-        return docs.limit(0).withColumn("score", F.lit(0.0))
+        return docs.limit(0).select("id", "published_on", *[F.lit(0.0).alias(c) for c in PARTS])
     synonyms = Q.synonym_map(mode.keywords)
     asked = [synonyms.get(t, t) for t in Q.query_tokens(mode.keywords)]
     terms = list(dict.fromkeys(asked))
-    base = counted(tokenised(docs), mode).persist()
+    tokens = docs if "ngram" in docs.columns else tokenised(docs)
+    base = checkpointed(counted(tokens.select("id", "published_on", "morph", "ngram"), mode))
     stats = base.agg(
         F.count("*").alias("N"),
         F.coalesce(F.avg("ngram_len"), F.lit(500.0)).alias("navg"),
@@ -102,7 +107,7 @@ def scored(docs: DataFrame, mode: Q.Mode, as_of: str, floor: float = 0.35) -> Da
     present = _total([F.when(F.col(f"n{terms.index(t)}") > 0, 1).otherwise(0) for t in asked])
     groups = [g for g in Q.groups(mode.keywords, synonyms)]
     full = _total([reduce(lambda a, b: a & b, [F.col(f"n{terms.index(t)}") > 0 if t in terms else F.lit(False) for t in g]).cast("int") for g in groups if g])
-    days = F.datediff(F.lit(as_of).cast("date"), F.col("published_on"))
+    days = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("published_on").cast("timestamp"))) / 86400
     df = df.withColumns({"ngram_score": signal("n"), "_m": signal("m"), "cooccur": cooccurrence()})
     df = df.withColumns({
         "morph_score": F.when(F.col("morph_len") > 0, F.col("_m")).otherwise(F.col("ngram_score")),
@@ -115,21 +120,51 @@ def scored(docs: DataFrame, mode: Q.Mode, as_of: str, floor: float = 0.35) -> Da
     part = lambda s, m: F.when(F.col(m) > 0, F.col(s) / F.col(m)).otherwise(0.0)
     df = df.withColumn("bm25", mode.morph_weight * part("morph_score", "mmax") + mode.ngram_weight * part("ngram_score", "nmax"))
     df = df.withColumn("score", F.col("bm25") * F.col("context") * F.col("coverage") * F.col("decay"))
-    own = ["ngram_score", "morph_score", "cooccur", "context", "coverage", "decay", "bm25", "score"]
-    return df.select(*docs.columns, *own)
+    return df.select("id", "published_on", *PARTS)
+
+
+PARTS = ["ngram_score", "morph_score", "cooccur", "context", "coverage", "decay", "bm25", "score"]
+
+
+def by(column: str) -> list[Column]:
+    """The stable order of results: best first, ties by id."""
+    return [F.desc(F.round(F.col(column), PLACES)), F.col("id")]
 
 
 def ranked(docs: DataFrame, mode: Q.Mode, as_of: str, limit: int = 50, floor: float = 0.35) -> DataFrame:
-    """The best documents, ties by id."""
-    return scored(docs, mode, as_of, floor).where("score > 0").orderBy(F.desc("score"), "id").limit(min(max(limit, 1), 500))
+    """id, score and its parts of the best documents."""
+    return scored(docs, mode, as_of, floor).where("score > 0").orderBy(*by("score")).limit(min(max(limit, 1), 500))
 
 
-def two_stage(docs: DataFrame, threshold: float, limit: int) -> DataFrame:
+def two_stage(results: DataFrame, threshold: float, limit: int) -> DataFrame:
     """Active documents first, those under the threshold after, to the limit; the reason is given for the latter."""
-    below = F.col("score") < threshold
+    below = F.round("score", PLACES) < threshold
     reason = F.when(below, F.format_string("score %.3f < %.3f", F.col("score"), F.lit(float(threshold))))
-    top = docs.withColumn("below", below).withColumn("reason", reason).orderBy("below", F.desc("score"), "id").limit(min(max(limit, 1), 500))
-    return top.withColumn("position", F.row_number().over(Window.orderBy("below", F.desc("score"), "id")))  # at most 500 rows
+    top = results.withColumn("below", below).withColumn("reason", reason).orderBy("below", *by("score")).limit(min(max(limit, 1), 500))
+    return top.withColumn("position", F.row_number().over(Window.orderBy("below", *by("score"))))  # at most 500 rows
+
+
+def pipeline(docs: DataFrame, mode: Q.Mode, as_of: str, dedup: float = 0.8, threshold: float = 0.5, limit: int = 50, floor: float = 0.35) -> DataFrame:
+    """The whole ranking: near duplicates go first, so that statistics are of what stays; then scores and two stages.
+
+    All columns of docs for the rows that are returned, with the score, its parts, below, reason and position.
+    """
+    top = two_stage(scored(deduplicated(docs, dedup), mode, as_of, floor).where("score > 0"), threshold, limit)
+    return docs.join(F.broadcast(top.drop("published_on")), "id")  # 500 rows at most
+
+
+def index(articles: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """The stored token index: id, url, published_on, content_hash, morph and ngram of each article.
+
+    Given the old index, only articles that are new in it or have another hash are tokenised.
+    """
+    base = articles.withColumn("content_hash", T.content_hash(F.col("title"), F.col("body")))
+    columns = ["id", "url", "published_on", "content_hash", "morph", "ngram"]
+    if old is None:
+        return tokenised(base).select(*columns)
+    known = base.join(old.select("id", "content_hash", "morph", "ngram"), ["id", "content_hash"]).select(*columns)
+    new = base.join(old.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
+    return known.unionByName(tokenised(new).select(*columns))
 
 
 def postings(tokens: DataFrame, signal: str = "ngram") -> DataFrame:
@@ -157,16 +192,21 @@ def _count(word: str) -> Column:
     return F.size(F.filter("morph", lambda x: x == word))
 
 
-def hybrid(base: DataFrame, found: DataFrame, limit: int = 50, lexical: float = 0.7) -> DataFrame:
-    """base (id, score) with 0.7 of its min-max score and 0.3 of the place in found (id, fts).
+def places(found: DataFrame, column: str = "fts") -> DataFrame:
+    """id and place of all rows, 1 for the best and less by equal steps to the last; no task holds more than its range."""
+    ranges = checkpointed(found.select("id", F.round(column, PLACES).alias("_s")).repartitionByRange(F.desc("_s"), "id"))
+    ranges = ranges.withColumn("_p", F.spark_partition_id())
+    sizes = ranges.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_p", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_s"), "id"))
+    return ranges.withColumn("_r", own).join(F.broadcast(sizes), "_p").select("id", (1 - (F.col("_before") + F.col("_r") - 1) / F.col("_all")).alias("place"))
 
-    Places are taken among the best 500 of found, as a search returns no more.
-    """
-    top = found.orderBy(F.desc("fts"), "id").limit(500)
-    places = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("fts"), "id")) - 1).withColumn("place", 1 - F.col("_r") / F.count("*").over(Window.partitionBy())).select("id", "place")
+
+def hybrid(base: DataFrame, found: DataFrame, limit: int = 50, lexical: float = 0.7) -> DataFrame:
+    """base (id, score: the active results of a ranking) ordered anew by 0.7 of their min-max score and 0.3 of the place in found (id, fts)."""
     ends = base.agg(F.least(F.min("score"), F.lit(0.0)).alias("lo"), F.greatest(F.max("score"), F.lit(0.0)).alias("hi"))
-    df = base.join(places, "id", "left").crossJoin(F.broadcast(ends))
+    df = base.join(places(found), "id", "left").crossJoin(F.broadcast(ends))  # one row
     span = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     df = df.withColumn("hybrid", lexical * span + (1 - lexical) * F.coalesce("place", F.lit(0.0))).drop("lo", "hi")
-    return df.orderBy(F.desc("hybrid"), "id").limit(limit)
-
+    return df.orderBy(*by("hybrid")).limit(limit)

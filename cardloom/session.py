@@ -1,6 +1,8 @@
 """Session settings that every entry point shares."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "cardloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -22,3 +24,17 @@ def session(app: str = "cardloom", master: str | None = None, shuffle_partitions
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read from there: its steps run once, and survive executors.
+
+    Where no folder is named one of this machine is used, if Spark runs on this machine alone.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cardloom-"))
+    return df.checkpoint()

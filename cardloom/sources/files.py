@@ -9,50 +9,68 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Names that a column may have.
+# Names that a column of a CSV file, or a key of a JSON object, may have, the first that is there first.
 ALIASES = {
-    "title": ["title", "name", "タイトル", "件名"],
-    "body": ["body", "content", "text", "description", "本文", "内容"],
-    "tags": ["tags", "tag", "タグ"],
-    "url": ["url", "link", "URL"],
-    "summary": ["summary", "要約"],
+    "title": ["title", "タイトル", "name"],
+    "body": ["body", "content", "description", "本文", "テキスト", "text"],
+    "url": ["url", "link", "リンク"],
+    "tags": ["tags", "tag", "タグ", "categories", "keywords"],
+}
+JSON_ALIASES = {
+    "title": ["title", "タイトル", "name", "headline", "subject"],
+    "body": ["body", "content", "description", "text", "abstract", "summary", "本文", "テキスト"],
+    "summary": ["summary", "abstract", "要約"],
+    "url": ["url", "link", "href", "リンク"],
+    "tags": ["tags", "tag", "categories", "category", "keywords", "labels", "タグ", "ラベル"],
 }
 WRAPPERS = ["cards", "articles", "items", "data", "results", "records", "entries"]
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cards (title, body, tags, url, summary) of a CSV file with a header; an empty body takes the other columns."""
+    """Cards (title, body, tags, url) of a CSV file with a header."""
     return from_columns(spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True))
 
 
 def from_columns(rows: DataFrame) -> DataFrame:
-    by = {c.strip().lower(): c for c in rows.columns}
-
-    def pick(field):
-        found = [F.nullif(F.trim(F.col(f"`{by[a.lower()]}`").cast("string")), F.lit("")) for a in ALIASES[field] if a.lower() in by]
-        return F.coalesce(*found) if found else F.lit(None).cast("string")
-
-    known = {a.lower() for names in ALIASES.values() for a in names}
-    others = [F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for low, c in by.items() if low not in known]
-    rest = F.concat_ws(" ", *others) if others else F.lit("")
-    tags = T.clean_tags(F.split(F.coalesce(pick("tags"), F.lit("")), r"[,、，\s]+"))
-    return rows.select(pick("title").alias("title"), F.coalesce(pick("body"), rest).alias("body"), tags.alias("tags"), pick("url").alias("url"), pick("summary").alias("summary")).where("title is not null or body <> ''")
+    """Cards of named columns; without a title it is "Row n", by the place; an empty body takes the other columns."""
+    by = {c.strip().lower(): c for c in reversed(rows.columns)}
+    chosen = {field: next((by[a] for a in names if a in by), None) for field, names in ALIASES.items()}
+    text = lambda c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c else F.lit("")
+    others = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns if c not in (chosen["title"], chosen["url"], chosen["tags"])]
+    rest = F.trim(F.concat_ws(" ", *others)) if others else F.lit("")
+    title = F.coalesce(F.nullif(text(chosen["title"]), F.lit("")), F.concat(F.lit("Row "), (F.monotonically_increasing_id() + 1).cast("string")))
+    tags = T.clean_tags(F.split(text(chosen["tags"]), r"[,、，\s]+"))
+    return rows.select(title.alias("title"), F.coalesce(F.nullif(text(chosen["body"]), F.lit("")), rest).alias("body"), tags.alias("tags"), F.nullif(text(chosen["url"]), F.lit("")).alias("url"))
 
 
 def from_json(texts: DataFrame) -> DataFrame:
     """Cards of JSON documents (text): an array, an object that wraps one, or a single object.
 
-    Titles that are missing become "Data n" by their place. What is no JSON gives no cards.
+    Keys are told whatever their case. An object without a title becomes "Data n" by its place, and its body lists all
+    its keys; an empty body takes the title; a summary that equals the body is none. What is no JSON gives no cards.
     """
     kind = "array<map<string,string>>"
     root = F.when(F.trim("text").startswith("["), F.from_json("text", kind))
     wrapped = F.coalesce(*[F.from_json(F.get_json_object("text", f"$.{w}"), kind) for w in WRAPPERS])
     single = F.when(F.trim("text").startswith("{"), F.array(F.from_json("text", "map<string,string>")))
-    df = texts.select(F.posexplode(F.coalesce(root, wrapped, single)).alias("at", "m")).where("m is not null")
-    pick = lambda field: F.coalesce(*[F.nullif(F.trim(F.try_element_at("m", F.lit(a))), F.lit("")) for a in ALIASES[field]])
-    tags = F.coalesce(pick("tags"), F.lit(""))
-    listed = F.when(tags.startswith("["), T.json_strings(tags)).otherwise(F.split(tags, r"[,、，\s]+"))
-    return df.select(F.coalesce(pick("title"), F.concat(F.lit("Data "), (F.col("at") + 1).cast("string"))).alias("title"), F.coalesce(pick("body"), F.lit("")).alias("body"), T.clean_tags(listed).alias("tags"), pick("url").alias("url"))
+    df = texts.select(F.posexplode(F.coalesce(root, wrapped, single)).alias("at", "m")).where("m is not null").withColumn("e", F.map_entries("m"))
+
+    def first(alias):
+        return F.get(F.filter("e", lambda x: (F.lower(x["key"]) == alias) & x["value"].isNotNull()), F.lit(0))["value"]
+
+    def pick(field):
+        return F.trim(F.coalesce(*map(first, JSON_ALIASES[field]), F.lit("")))
+
+    # a map holds texts without their quotes: what doesn't look like another kind of value gets them back
+    value = lambda v: F.when(v.rlike(r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|\[.*|\{.*)$"), v).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
+    listed = F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit(": "), F.coalesce(value(x["value"]), F.lit("null")))), "\n")
+    df = df.select("at", *[pick(f).alias(f) for f in JSON_ALIASES], listed.alias("listed"))
+    tags = F.when(F.col("tags").startswith("["), T.json_strings(F.col("tags"))).otherwise(F.split("tags", r"[,、，\s]+"))
+    none = F.col("title") == ""
+    body = F.when(none, F.col("listed")).when(F.col("body") == "", F.col("title")).otherwise(F.col("body"))
+    summary = F.when(~none & (F.col("summary") != "") & (F.col("summary") != F.col("body")), F.col("summary"))
+    some = F.when(none, F.array().cast("array<string>")).otherwise(T.clean_tags(tags))
+    return df.select(F.when(none, F.concat(F.lit("Data "), (F.col("at") + 1).cast("string"))).otherwise(F.col("title")).alias("title"), body.alias("body"), some.alias("tags"), F.when(~none, F.nullif("url", F.lit(""))).alias("url"), summary.alias("summary"))
 
 
 def imported(cards: DataFrame, articles: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ TEMPLATES = {
   {published} AS published_on, {updated} AS updated_on, CASE WHEN d.doc_id % 7 <> 0 THEN {published} END AS first_seen_on,
   CASE d.doc_id % 4 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'saved' ELSE 'expired' END AS candidate_status,
   CASE WHEN d.doc_id % 4 = 1 AND d.doc_id % 5 <> 0 THEN {updated} END AS reviewed_on,
+  CASE WHEN d.doc_id % 11 <> 0 THEN {updated} END AS last_fetched_on,
   CASE WHEN d.doc_id % 4 = 2 THEN concat('c', CAST(d.doc_id AS {str})) END AS saved_card_id,
   CASE WHEN d.doc_id % 9 = 0 THEN '["a","b"]' WHEN d.doc_id % 9 = 1 THEN 'not json' ELSE '[]' END AS tags_json
 FROM {documents} d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {labels} GROUP BY doc_id) l ON d.doc_id = l.doc_id""",

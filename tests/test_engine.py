@@ -59,13 +59,47 @@ def test_dedup_recall(spark):
     assert registry.QUERIES["dup_recall"](spark, SF).first()["recall"] >= 0.85
 
 
-def test_dedup_keeps_one_of_each_group(spark):
-    t = catalog.Tables(spark, SF)
-    sets = D.shingled(t.articles)
-    pairs = D.verified(D.lsh_pairs(sets), sets, 0.8)
-    kept = {r.id for r in D.deduplicated(t.articles).select("id").collect()}
-    assert not [r for r in pairs.collect() if r.a in kept and r.b in kept]
-    assert D.deduplicated(t.articles, 1.0).count() == t.articles.count()
+def greedy(rows, threshold):
+    """Brute force: best first, those with a kept neighbour go."""
+    sets = {i: {(f"{title} {body[:500]}").lower()[k : k + 5] for k in range(len(f"{title} {body[:500]}") - 4)} for i, title, body, _ in rows}
+    kept = []
+    for i, *_ in sorted(rows, key=lambda r: (-len(r[2]) * r[3], r[0])):
+        near = lambda a, b: (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= threshold
+        if not any(near(i, j) for j in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def test_dedup_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) for _ in range(n))
+    rows = [(f"a{i}", words(3), words(60), 0.5) for i in range(40)]
+    base = words(70)
+    for i in range(200):  # a large group of near copies, some of them better than others
+        w = base.split()
+        w[r.randrange(70)] = words(1)
+        rows.append((f"n{i}", "near", " ".join(w) + " x" * r.randrange(4), r.choice([0.5, 0.7, 1.0])))
+    rows += [(f"c{i}", "same", base, 0.5 + i / 1000) for i in range(50)] + [("e1", "", "", 0.5), ("e2", "", "ab", 0.5), ("e3", "a", "b", 0.9)]
+    docs = spark.createDataFrame(rows, "id string, title string, body string, source_authority double")
+    assert {x.id for x in D.deduplicated(docs).select("id").collect()} == greedy(rows, 0.8)
+    assert D.deduplicated(docs, 1.0).count() == len(rows)
+
+
+def test_rank_pipeline_counts_what_stays(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta " * 4
+    rows = [(f"c{i}", "t", text, 0.5) for i in range(30)] + [("a", "t", "alpha alone in another text", 0.5), ("b", "t", "nothing of the kind", 0.5)]
+    docs = spark.createDataFrame(rows, "id string, title string, body string, source_authority double").withColumn("published_on", F.to_date(F.lit("2025-01-01")))
+    got = R.pipeline(docs, Q.Mode(keywords=[Q.Keyword("alpha")]), "2025-01-01", threshold=0.0).orderBy("position").collect()
+    one = docs.where("id in ('a', 'b', 'c0')")
+    alone = {x.id: round(x.score, 9) for x in R.scored(one, Q.Mode(keywords=[Q.Keyword("alpha")]), "2025-01-01").collect()}
+    assert {x.id: round(x.score, 9) for x in got} == {i: alone[i] for i in ("a", "c0")}
+
+
+def test_presets():
+    assert [Q.preset(n).keywords[0].term for n in Q.PRESETS] == ["実装", "定理", "リリース"]
+    assert (Q.preset("theory").k1, Q.preset("theory").morph_weight) == (1.8, 0.35)
 
 
 def test_query_parser():
@@ -126,7 +160,7 @@ def test_csv_and_json(spark, tmp_path):
     rows = files.read_csv(spark, str(tmp_path / "x.csv")).collect()
     assert [(r.title, r.body, r.tags) for r in rows] == [("CSV card", 'say "hi"', ["csv", "import"]), ("No body", "", [])]
     df = spark.createDataFrame([('[{"name":"n","content":"c"}]',), ("not json",), ('{"title":"solo"}',)], "text string")
-    assert sorted((r.title, r.body) for r in files.from_json(df).collect()) == [("n", "c"), ("solo", "")]
+    assert sorted((r.title, r.body) for r in files.from_json(df).collect()) == [("n", "c"), ("solo", "solo")]
 
 
 def test_empty_feeds(spark):
