@@ -12,6 +12,7 @@ from .operators import evaluate as E
 from .operators import lifecycle as L
 from .plans import query as Q
 from .plans import rank as R
+from .session import checkpointed
 from .sources import feeds, files
 from .sources.tables import Tables, duck
 from .streaming import ingest
@@ -569,7 +570,7 @@ def _(t):
 @query("hybrid_rank", """SELECT b.id, round(0.7 * score / (SELECT max(score) FROM base) + 0.3 * coalesce(p.place, 0), 6) AS hybrid FROM base b LEFT JOIN place p ON p.id = b.id""",
        *RANK, *FTS, "base AS (SELECT id, score FROM scored WHERE round(score, 9) >= 0.5 ORDER BY round(score, 9) DESC, id LIMIT 50)", "place AS (SELECT id, 1 - (row_number() OVER (ORDER BY round(fts, 9) DESC, id) - 1) / count(*) OVER () AS place FROM fts)")
 def _(t):
-    tokens = R.index(t.articles)
+    tokens = checkpointed(R.index(t.articles))
     base = R.two_stage(R.scored(tokens, MODE, AS_OF).where("score > 0"), 0.5, 50).where("not below").select("id", "score")
     return R.hybrid(base, R.fts(tokens, ["with", "from"])).select("id", six("hybrid"))
 

@@ -81,17 +81,18 @@ def infer_source(id_: Column, source: Column) -> Column:
     return F.coalesce(F.nullif(source, F.lit("")), prefixes)
 
 
-def shingles(title: Column, body: Column, k: int = 5, head: int = 500) -> Column:
-    """Distinct k-character pieces of the lower-cased title and the head of the body."""
-    s = F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, head)))
-    return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+SHINGLE, SHINGLE_HEAD = 5, 500  # characters of a shingle, and of a body that are looked at
+
 
+def shingled_text(title: Column, body: Column) -> Column:
+    """The text that shingles are cut from: the lower-cased title and the head of the body."""
+    return F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, SHINGLE_HEAD)))
 
-def shingle_hashes(title: Column, body: Column, k: int = 5, head: int = 500) -> Column:
-    """The sorted distinct 64-bit hashes of the shingles."""
-    s = F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, head)))
-    every = F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.xxhash64(F.substring(s, i, F.lit(k))))
-    return F.when(F.length(s) >= k, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<bigint>"))
+
+def shingles(title: Column, body: Column, k: int = SHINGLE) -> Column:
+    """Distinct k-character pieces of shingled_text()."""
+    s = shingled_text(title, body)
+    return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
