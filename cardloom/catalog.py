@@ -507,13 +507,27 @@ def _(t):
     return files.union_all(each).groupBy("variant").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query("match_meta", """SELECT id, concat_ws(',', CASE WHEN contains(lower(title), 'with') OR contains(lower(title), 'that') THEN 'title' END, CASE WHEN contains(lower(body), 'with') OR contains(lower(body), 'that') THEN 'body' END) AS fields,
-concat_ws(',', CASE WHEN contains(lower(body), 'with') THEN 'with' END, CASE WHEN contains(lower(body), 'that') THEN 'that' END) AS words FROM articles""")
+META = """SELECT id, [x FOR x IN [CASE WHEN contains(lower(title), 'with') OR contains(lower(title), 'that') THEN 'title' END, CASE WHEN contains(lower(body), 'with') OR contains(lower(body), 'that') THEN 'body' END] IF x IS NOT NULL] AS f,
+[x FOR x IN [CASE WHEN contains(lower(title || ' ' || body), 'with') THEN 'With' END, CASE WHEN contains(lower(title || ' ' || body), 'that') THEN 'that' END] IF x IS NOT NULL] AS w FROM articles"""
+WORDS = [Q.Keyword(" With "), Q.Keyword("that"), Q.Keyword("WITH")]
+
+
+@query("match_meta", "SELECT id, list_aggregate(f, 'string_agg', ',') AS fields, list_aggregate(w, 'string_agg', ',') AS words FROM m WHERE len(f) > 0", f"m AS ({META})")
+def _(t):
+    m = L.match_meta(t.articles.select("id", "title", "body"), Q.candidates(WORDS)).where(F.size("fields") > 0)
+    return m.select("id", F.array_join("fields", ",").alias("fields"), F.array_join("words", ",").alias("words"))
+
+
+@query("match_reason", "SELECT id, coalesce(list_aggregate(f, 'string_agg', ', '), '本文一致') || ' / ' || coalesce('キーワード: ' || list_aggregate(w, 'string_agg', ', '), 'キーワード: none') AS reason FROM m", f"m AS ({META})")
+def _(t):
+    m = L.match_meta(t.articles.select("id", "title", "body"), Q.candidates(WORDS), ["none", " none"])
+    return m.select("id", L.match_reason(F.col("fields"), F.col("words")).alias("reason"))
+
+
+@query("public_view", "SELECT id, NULL::VARCHAR AS summary, '' AS tags, 'article' AS type, published_on::VARCHAR AS created_on, false AS archived FROM articles")
 def _(t):
-    words = ["with", "that"]
-    has = lambda c: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w))
-    fields = F.array_compact(F.array(*[F.when(has(F.col(c)), c) for c in ("title", "body")]))
-    return t.articles.select("id", F.array_join(fields, ",").alias("fields"), F.array_join(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("body"), w)), ",").alias("words"))
+    v = L.public_view(R.tokenised(t.articles))
+    return v.select("id", "summary", F.array_join("tags", ",").alias("tags"), "type", F.col("created_on").cast("string").alias("created_on"), "archived")
 
 
 @query("exclude_terms", "SELECT id FROM articles WHERE NOT regexp_matches(lower(title || ' ' || body), '(^|[^\\p{L}\\p{N}_])with($|[^\\p{L}\\p{N}_])')")
@@ -641,6 +655,53 @@ def _(t):
     return D.deduplicated(t.articles).select("id")
 
 
+# ---------------------------------------------------------------- changes of cards and groups
+
+
+@query("card_save", """SELECT id, title, type, archived, updated_on::VARCHAR AS updated_on, (SELECT string_agg(tag, ',' ORDER BY tag) FROM (SELECT DISTINCT tag FROM nt WHERE nt.card_id = n.id)) AS tags FROM n""",
+       "n AS (SELECT id, CASE WHEN seq % 5 = 0 THEN 'changed ' || id ELSE title END AS title, type, archived, CASE WHEN seq % 5 = 0 THEN DATE '2025-01-01' ELSE updated_on END AS updated_on, seq FROM cards UNION ALL SELECT 'new-' || id, 'made', 'memo', false, DATE '2025-01-01', seq FROM cards WHERE seq % 5 = 1)",
+       "nt AS (SELECT card_id, tag FROM card_tags WHERE card_id NOT IN (SELECT id FROM cards WHERE seq % 5 = 0) UNION ALL SELECT id, 't1' FROM cards WHERE seq % 5 = 0 UNION ALL SELECT 'new-' || id, 't2' FROM cards WHERE seq % 5 = 1)")
+def _(t):
+    cards = C.with_tokens(t.cards, t.card_tags)
+    was = F.col("seq") % 5
+    some = t.cards.where(was <= 1).select(F.when(was == 0, F.col("id")).otherwise(F.concat(F.lit("new-"), "id")).alias("id"), F.when(was == 0, F.concat(F.lit("changed "), "id")).otherwise("made").alias("title"), F.when(was == 1, "text of it").alias("body"), F.array(F.when(was == 0, " t1 ").otherwise("t2")).alias("tags"))
+    cards, tags, _ = C.saved(cards, t.card_tags, t.card_links, some, AS_OF)
+    of = tags.groupBy(F.col("card_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"))
+    return cards.join(of, "id", "left").select("id", "title", "type", "archived", F.col("updated_on").cast("string").alias("updated_on"), "tags")
+
+
+@query("token_backfill", "SELECT c.id, count(DISTINCT term) AS n_terms FROM c LEFT JOIN (SELECT id, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+')) AS term FROM c) x ON x.id = c.id AND length(term) > 1 GROUP BY c.id",
+       "c AS (SELECT id, title || ' ' || body || ' ' || lang_source AS s FROM cards JOIN (SELECT card_id, string_agg(tag, ' ' ORDER BY tag) AS lang_source FROM (SELECT DISTINCT * FROM card_tags) GROUP BY card_id) ON card_id = id)")
+def _(t):
+    had = C.with_tokens(t.cards, t.card_tags)
+    cut = had.withColumn("ngram", F.when(F.col("seq") % 3 == 0, F.col("ngram")).when(F.col("seq") % 3 == 1, F.array().cast("array<string>")))
+    return C.tokens_backfilled(cut, t.card_tags).select("id", F.size("ngram").cast("long").alias("n_terms"))
+
+
+@query("save_as_card", """SELECT r.id, r.card_id, CASE WHEN a.id IS NULL THEN 404 WHEN candidate_status IN ('expired', 'saved') OR saved_card_id IS NOT NULL OR r.card_id LIKE 'z%' THEN 409 ELSE 201 END AS code,
+CASE WHEN a.id IS NOT NULL AND candidate_status NOT IN ('expired', 'saved') AND saved_card_id IS NULL AND r.card_id NOT LIKE 'z%' THEN 'saved' ELSE candidate_status END AS status FROM r LEFT JOIN articles a ON a.id = r.id""",
+       "r AS (SELECT id, 'n' || id AS card_id FROM articles UNION ALL SELECT id, 'z' || id FROM articles UNION ALL SELECT 'x' || id, 'n' FROM articles)")
+def _(t):
+    ask = lambda i, c: t.articles.select(i.alias("id"), c.alias("card_id"))
+    every = files.union_all([ask(F.col("id"), F.concat(F.lit("n"), "id")), ask(F.col("id"), F.concat(F.lit("z"), "id")), ask(F.concat(F.lit("x"), "id"), F.lit("n"))])
+    return L.saved_as_cards(t.articles, every, AS_OF)[1]
+
+
+@query("index_texts", "SELECT c.id, sha256(title || '|' || body || '|' || coalesce(summary, '') || '|' || coalesce(tags, '')) AS digest FROM cards c LEFT JOIN (SELECT card_id, string_agg(tag, ' ' ORDER BY tag) AS tags FROM (SELECT DISTINCT * FROM card_tags) GROUP BY card_id) t ON t.card_id = c.id")
+def _(t):
+    return C.index_texts(t.cards, t.card_tags).select("id", F.sha2(F.concat_ws("|", "title", "body", "summary", "tags"), 256).alias("digest"))
+
+
+@query("health", "SELECT count(*) AS cards FROM cards")
+def _(t):
+    return C.health(t.cards)
+
+
+@query("kj_upsert", "SELECT id, CASE WHEN id = 'g4' THEN 'renamed' ELSE name END AS name, color FROM kj_groups UNION ALL SELECT 'own', 'Own', ['#FF6B6B', '#FFD93D', '#6BCB77', '#4D96FF', '#C77DFF', '#FF9A3C', '#00C9A7', '#F72585'][(SELECT count(*) FROM kj_groups) % 8 + 1]")
+def _(t):
+    return C.group_updated(C.group_created(t.kj_groups, "own", "Own"), "g4", name="renamed").select("id", "name", "color")
+
+
 # ---------------------------------------------------------------- evaluation
 
 QRELS = ("qrels AS (SELECT source AS query_id, id FROM articles WHERE doc_id % 50 = 1 OR doc_id % 3 = 0 AND doc_id < 120)",
@@ -728,6 +789,22 @@ def _(t):
     return files.from_json(t.spark.range(1).select(F.lit(text).alias("text"))).select("title", "body", F.array_join("tags", ",").alias("tags"))
 
 
+@query("stream_upsert", """SELECT id, title, first_seen_on::VARCHAR AS first_seen FROM (SELECT id, title, url, published_on AS first_seen_on, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS n FROM articles) WHERE n = 1""")
+def _(t):
+    # all articles as a stream into an empty store; a second run of the same stream adds nothing
+    import uuid
+
+    base = t.spark.sparkContext.getCheckpointDir() or checkpointed(t.spark.range(1)) and t.spark.sparkContext.getCheckpointDir()
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    columns = ["id", "url", "title", F.col("published_on").alias("created_on"), F.col("published_on").alias("first_seen_on"), "candidate_status", F.col("doc_id").alias("seq")]
+    t.articles.select(*columns).write.parquet(f"{folder}/in")
+    schema = t.articles.select(*columns).schema
+    store = ingest.ArticleStore(t.spark, f"{folder}/store", t.articles.select(*columns[:-1]).schema)
+    for _ in range(2):
+        ingest.ingest(t.spark.readStream.schema(schema).parquet(f"{folder}/in"), store, f"{folder}/checkpoint").awaitTermination()
+    return store.read().select("id", "title", F.col("first_seen_on").cast("string").alias("first_seen"))
+
+
 @query("schema_check")
 def _(t):
     want = {"id": "string", "title": "string", "body": "string", "url": "string", "source": "string", "source_authority": "double"}

@@ -160,3 +160,69 @@ def orphans_removed(tags: DataFrame, links: DataFrame, cards: DataFrame) -> tupl
 def backfilled(rows: DataFrame, column: str = "tags_json") -> DataFrame:
     """Relations (id, value) from JSON arrays."""
     return rows.select("id", F.explode(T.clean_tags(T.json_strings(F.col(column)))).alias("value")).distinct()
+
+
+def with_tokens(cards: DataFrame, tags: DataFrame) -> DataFrame:
+    """cards with morph and ngram, the stored tokens of title, body and tags."""
+    t = tags.groupBy(F.col("card_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("tag")), " ").alias("_tags"))
+    morph, ngram = T.stored_tokens(F.concat_ws(" ", "title", "body", F.coalesce("_tags", F.lit(""))))
+    return cards.join(t, "id", "left").withColumns({"morph": morph, "ngram": ngram}).drop("_tags")
+
+
+def saved(cards: DataFrame, tags: DataFrame, links: DataFrame, changes: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cards (with morph and ngram), tags and links after creating and updating cards.
+
+    changes hold id and any of the cards' columns, and tags and links as arrays of strings. A null leaves an updated card's field
+    (or its tags or links) as it is; a new card is a memo, not archived, made now. Changed cards are tokenised anew,
+    their relations replaced; other rows are untouched.
+    """
+    fields = [c for c in cards.columns if c in changes.columns and c != "id"]
+    base = [c for c in cards.columns if c not in ("morph", "ngram")]
+    new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_new"))
+    date = F.lit(now).cast("date")
+    default = {"type": F.lit("memo"), "archived": F.lit(False), "created_on": date}
+    touched = cards.select(*base, F.lit(True).alias("_old")).join(new, "id", "full_outer").where("_new")
+    value = lambda c: F.coalesce(*([F.col(f"_{c}")] if c in fields else []), F.col(c), *([default[c]] if c in default else []))
+    out = touched.select(*[date.alias(c) if c == "updated_on" else F.col("id") if c == "id" else value(c).alias(c) for c in base])
+
+    def relations(table, own, other, column):
+        given = changes.where(F.col(column).isNotNull()).select(F.col("id").alias(own), F.explode_outer(T.clean_tags(F.col(column))).alias(other)) if column in changes.columns else None
+        if given is None:
+            return table
+        return table.join(given.select(own), own, "left_anti").select(own, other).unionByName(given.where(F.col(other).isNotNull()))
+
+    tags = relations(tags, "card_id", "tag", "tags")
+    links = relations(links, "source_card_id", "target_card_id", "links").where("source_card_id <> target_card_id")
+    out = with_tokens(out, tags.join(out.select(F.col("id").alias("card_id")), "card_id", "left_semi"))
+    rest = cards.join(changes.select("id"), "id", "left_anti")
+    return rest.unionByName(out.select(*cards.columns)), tags, links
+
+
+def tokens_backfilled(cards: DataFrame, tags: DataFrame) -> DataFrame:
+    """cards whose ngram is null or empty are tokenised; the others stay as they are."""
+    lacking = F.col("ngram").isNull() | (F.size("ngram") == 0)
+    return cards.where(~lacking).unionByName(with_tokens(cards.where(lacking).drop("morph", "ngram"), tags).select(*cards.columns))
+
+
+def index_texts(cards: DataFrame, tags: DataFrame) -> DataFrame:
+    """id, title, body, summary and tags (sorted, joined by a space) as a full-text index holds them."""
+    t = tags.groupBy(F.col("card_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("tag")), " ").alias("tags"))
+    some = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return cards.join(t, "id", "left").select("id", "title", "body", some("summary"), some("tags"))
+
+
+def health(cards: DataFrame) -> DataFrame:
+    return cards.agg(F.count("*").alias("cards"))
+
+
+def group_created(groups: DataFrame, id_: str, name: str, color: str | None = None) -> DataFrame:
+    """groups and a new one; without a colour it takes the palette's by the number of groups."""
+    n = groups.agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    chosen = F.lit(color) if color else F.get(F.array(*map(F.lit, T.PALETTE)), (F.col("n") % len(T.PALETTE)).cast("int"))
+    new = n.select(F.lit(id_).alias("id"), F.lit(name).alias("name"), chosen.alias("color"), (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("seq"))
+    return groups.select("id", "name", "color", "seq").unionByName(new)
+
+
+def group_updated(groups: DataFrame, id_: str, **fields: str) -> DataFrame:
+    """groups with some fields of one replaced; an unknown id changes nothing."""
+    return groups.withColumns({c: F.when(F.col("id") == id_, F.lit(v)).otherwise(F.col(c)) for c, v in fields.items()})

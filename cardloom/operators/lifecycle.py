@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import query as Q
 
 KEPT = ["created_on", "first_seen_on", "candidate_status", "reviewed_on", "saved_on", "expired_on", "saved_card_id", "candidate_score", "candidate_match_reason"]
 
@@ -54,6 +57,22 @@ def transitioned(candidates: DataFrame, events: DataFrame) -> DataFrame:
     return df.withColumn("to_status", to)
 
 
+def saved_as_cards(articles: DataFrame, wanted: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Cards of the wanted candidates (id, card_id), and what became of each request (id, code, status).
+
+    An unknown id gives 404; one that is expired or saved already, and all requests for an id but that of the smallest
+    card_id, give 409 and no card; the others give 201, a card of type article, and the state saved with that card.
+    """
+    state = articles.select("id", F.col("candidate_status").alias("_s"), F.col("saved_card_id").alias("_c"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("card_id"))
+    asked = wanted.withColumn("_n", first).join(state, "id", "left")
+    code = F.when(F.col("_s").isNull(), 404).when((F.col("_s").isin("expired", "saved")) | F.col("_c").isNotNull() | (F.col("_n") > 1), 409).otherwise(201)
+    asked = asked.withColumn("code", code)
+    date = F.lit(now).cast("date")
+    new = articles.join(asked.where("code = 201").select("id", "card_id"), "id").select(F.col("card_id").alias("id"), "title", "body", F.nullif("url", F.lit("")).alias("url"), F.lit("article").alias("type"), date.alias("created_on"), F.col("id").alias("candidate_id"))
+    return new, asked.select("id", "card_id", "code", F.when(F.col("code") == 201, "saved").otherwise(F.col("_s")).alias("status"))
+
+
 def retention(candidates: DataFrame, as_of: str, days: int) -> DataFrame:
     """Reviewed candidates that are older than ``days`` become expired."""
     old = (F.col("candidate_status") == "reviewed") & (F.coalesce("reviewed_on", "updated_on") < F.date_sub(F.lit(as_of).cast("date"), days))
@@ -93,6 +112,48 @@ def overlaid(request: DataFrame, stored: DataFrame, columns: list[str]) -> DataF
     return request.join(s, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def match_meta(articles: DataFrame, keywords: list[str], matched_terms: list[str] = ()) -> DataFrame:
+    """articles with fields and words: which of title, body, summary and tags hold a keyword, and which keywords they hold.
+
+    Texts and keywords are compared in NFKC and lower case. Without a hit, words are the matched terms. A column that
+    is missing, or a null, holds nothing; tags may be an array or a text.
+    """
+    types = dict(articles.dtypes)
+
+    def text(c):
+        if c not in types:
+            return F.lit("")
+        value = F.array_join(c, " ") if types[c].startswith("array") else F.col(c)
+        return F.coalesce(T.normalize(value), F.lit(""))
+
+    names = ("title", "body", "summary", "tags")
+    df = articles.withColumns({f"_{c}": text(c) for c in names})
+    has = lambda c, w: F.contains(F.col(f"_{c}"), F.lit(Q.norm(w)))
+    some = lambda conds: reduce(lambda a, b: a | b, conds, F.lit(False))
+    fields = F.array_compact(F.array(*[F.when(some([has(c, w) for w in keywords]), c) for c in names]))
+    words = F.array_compact(F.array(*[F.when(some([has(c, w) for c in names]), w) for w in keywords])) if keywords else F.array().cast("array<string>")
+    terms = F.array(*map(F.lit, dict.fromkeys(t.strip() for t in matched_terms if t.strip()))).cast("array<string>")
+    return df.withColumn("fields", fields).withColumn("words", words).withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(terms)).drop(*[f"_{c}" for c in names])
+
+
+# What a reason says where nothing matched, and the word before its keywords.
+NO_FIELD, NO_KEYWORD, KEYWORDS = "本文一致", "キーワード一致", "キーワード: "
+
+
+def match_reason(fields: Column, words: Column) -> Column:
+    """fields / keywords, each with its own text where there is none."""
+    left = F.when(F.size(fields) > 0, F.array_join(fields, ", ")).otherwise(NO_FIELD)
+    right = F.when(F.size(words) > 0, F.concat(F.lit(KEYWORDS), F.array_join(words, ", "))).otherwise(NO_KEYWORD)
+    return F.concat(left, F.lit(" / "), right)
+
+
+def public_view(articles: DataFrame) -> DataFrame:
+    """articles without tokens, and with the defaults of a result: tags, type, creation date, archived."""
+    have = articles.columns
+    default = {"summary": F.lit(None).cast("string"), "tags": F.array().cast("array<string>"), "type": F.lit("article"), "created_on": F.col("published_on"), "archived": F.lit(False)}
+    return articles.drop("morph", "ngram", "content_hash").withColumns({c: F.coalesce(F.col(c), d) if c in have else d for c, d in default.items()})
+
+
 # Limits of an input row.
 LIMITS = {"title": 200, "body": 20000}
 

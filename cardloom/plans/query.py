@@ -117,6 +117,15 @@ def query_tokens(keywords: list[Keyword]) -> list[str]:
     return list(dict.fromkeys([t for t in raw if t] + tokenize(" ".join(k.term for k in keywords))))
 
 
+def candidates(keywords: list[Keyword]) -> list[str]:
+    """The keywords' terms, trimmed, each once whatever its case; the first spelling stays."""
+    found: dict[str, str] = {}
+    for k in keywords:
+        if k.term.strip():
+            found.setdefault(norm(k.term), k.term.strip())
+    return list(found.values())
+
+
 def groups(keywords: list[Keyword], synonyms: dict[str, str]) -> list[list[str]]:
     return [list(dict.fromkeys(synonyms.get(t, t) for t in tokenize(k.term))) for k in keywords]
 

@@ -15,7 +15,7 @@ from cardloom.operators import dedup as D
 from cardloom.plans import query as Q
 from cardloom.plans import rank as R
 from cardloom.sources import feeds, files
-from cardloom.streaming.ingest import ArticleStore, ingest
+from cardloom.streaming.ingest import ArticleStore, collected, ingest
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 BASE = ["documents", "labels", "pages", "benchmark", "events", "conversations"]
@@ -172,12 +172,33 @@ def test_stream_upsert_keeps_first_seen(spark, tmp_path):
     schema = "id string, url string, title string, created_on string, first_seen_on string, candidate_status string"
     for k, rows in enumerate(([("1", "u1", "old", "d1", "d1", "unreviewed")], [("1", "u1", "new", "d2", "d2", "unreviewed"), ("2", "u1", "same url", "d2", "d2", "unreviewed"), ("3", "u3", "x", "d2", "d2", "unreviewed")])):
         spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", seq int").write.parquet(str(tmp_path / "in" / f"{k}"))
-    store = ArticleStore(spark, str(tmp_path / "store"), spark.createDataFrame([], schema).schema)
     for k in range(2):
+        store = ArticleStore(spark, str(tmp_path / "store"), spark.createDataFrame([], schema).schema)  # as a new process would
         source = spark.readStream.schema(schema + ", seq int").parquet(str(tmp_path / "in" / f"{k}"))
         q = ingest(source, store, str(tmp_path / f"check{k}"))
         q.awaitTermination(60)
-        store.batch = -1
+    store.upsert(store.read().withColumn("title", F.lit("again")).withColumn("seq", F.lit(0)), 0, str(tmp_path / "check1"))  # applied before
     got = {r.id: r for r in store.read().collect()}
     assert set(got) == {"1", "3"}
     assert (got["1"].title, got["1"].created_on, got["1"].first_seen_on) == ("new", "d1", "d1")
+
+
+def test_collection_goes_on_without_a_failing_source(spark, tmp_path):
+    schema = "id string, url string, title string, created_on string, first_seen_on string, candidate_status string"
+    rows = lambda i: spark.createDataFrame([(i, f"u{i}", "t", "d", "d", "unreviewed", 0)], schema + ", seq int")
+
+    def broken():
+        raise OSError("no answer")
+
+    store = ArticleStore(spark, str(tmp_path / "s"), spark.createDataFrame([], schema).schema)
+    got = collected({"a": lambda: rows("1"), "b": broken, "c": lambda: rows("2")}, store, "hourly", 0)
+    assert got == [("a", 1, None), ("b", 0, "no answer"), ("c", 1, None)]
+    assert {r.id for r in store.read().collect()} == {"1", "2"}
+    for n in range(1, 7):
+        collected({"a": lambda: rows(str(n))}, store, "hourly", n)
+    assert store.read().count() == 6 and len(store.versions()) <= 4
+
+
+def test_exports(spark, tmp_path):
+    files.export_json(str(tmp_path / "x"), cards=spark.createDataFrame([("1", "t")], "id string, title string"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "x" / "cards")).collect()] == [("1", "t")]
