@@ -201,9 +201,9 @@ def _(t):
 
 
 @query("token_cache_hit", """SELECT a.id, coalesce((SELECT c.h = sha256(a.title || chr(0) || a.body) FROM c WHERE c.id = a.id OR c.url = a.url ORDER BY CASE WHEN c.id = a.id THEN 0 ELSE 1 END, c.id LIMIT 1), false) AS hit FROM articles a""",
-       "c AS (SELECT id, url, CASE WHEN doc_id % 2 = 0 THEN sha256(title || chr(0) || body) ELSE 'old' END AS h FROM articles WHERE doc_id % 3 = 0)")
+       "c AS (SELECT CASE WHEN lang = 'fr' THEN 'z' || id ELSE id END AS id, url, CASE WHEN lang = 'de' THEN 'old' ELSE sha256(title || chr(0) || body) END AS h FROM articles)")
 def _(t):
-    c = t.articles.where("doc_id % 3 = 0").select("id", "url", F.when(F.col("doc_id") % 2 == 0, T.content_hash(F.col("title"), F.col("body"))).otherwise("old").alias("content_hash"))
+    c = t.articles.select(F.expr("case when lang = 'fr' then concat('z', id) else id end").alias("id"), "url", F.when(F.col("lang") == "de", "old").otherwise(T.content_hash(F.col("title"), F.col("body"))).alias("content_hash"))
     return L.cached_tokens(t.articles, c)
 
 
@@ -232,8 +232,8 @@ def _(t):
     return L.retention(t.articles, "2024-09-01", 14).select("id", "candidate_status")
 
 
-UPSERT_ROWS = ("stored AS (SELECT id, url, title, published_on AS created_on, first_seen_on, candidate_status FROM articles WHERE doc_id % 3 <> 0)",
-               "came AS (SELECT id, url, 'new ' || title AS title, updated_on AS created_on, updated_on AS first_seen_on, 'unreviewed' AS candidate_status, doc_id AS seq FROM articles WHERE doc_id % 2 = 0)",
+UPSERT_ROWS = ("stored AS (SELECT id, url, title, published_on AS created_on, first_seen_on, candidate_status FROM articles)",
+               "came AS (SELECT CASE WHEN lang IN ('fr', 'de') THEN 'z' || id ELSE id END AS id, CASE WHEN lang = 'de' THEN url || '/' || id ELSE url END AS url, 'new ' || title AS title, updated_on AS created_on, updated_on AS first_seen_on, 'unreviewed' AS candidate_status, doc_id AS seq FROM articles)",
                "u AS (SELECT * FROM came QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)",
                "n AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.url = u.url AND s.id <> u.id))")
 
@@ -243,8 +243,8 @@ CASE WHEN s.id IS NULL THEN n.candidate_status ELSE s.candidate_status END AS ca
 FROM stored s FULL JOIN n ON s.id = n.id""", *UPSERT_ROWS)
 def _(t):
     a = t.articles
-    stored = a.where("doc_id % 3 <> 0").select("id", "url", "title", F.col("published_on").alias("created_on"), "first_seen_on", "candidate_status")
-    came = a.where("doc_id % 2 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.col("updated_on").alias("created_on"), F.col("updated_on").alias("first_seen_on"), F.lit("unreviewed").alias("candidate_status"), F.col("doc_id").alias("seq"))
+    stored = a.select("id", "url", "title", F.col("published_on").alias("created_on"), "first_seen_on", "candidate_status")
+    came = a.select(F.expr("case when lang in ('fr', 'de') then concat('z', id) else id end").alias("id"), F.expr("case when lang = 'de' then concat(url, '/', id) else url end").alias("url"), F.concat(F.lit("new "), "title").alias("title"), F.col("updated_on").alias("created_on"), F.col("updated_on").alias("first_seen_on"), F.lit("unreviewed").alias("candidate_status"), F.col("doc_id").alias("seq"))
     return L.upserted(stored, came).select("id", "title", F.col("created_on").cast("string").alias("created_on"), "candidate_status", "action")
 
 
@@ -253,9 +253,9 @@ def _(t):
     return L.article_stats(t.articles)
 
 
-@query("overlay_join", "SELECT a.id, coalesce(c.title, 'request') AS title FROM articles a LEFT JOIN (SELECT substr(id, 2) AS id, title FROM cards WHERE seq % 2 = 0) c ON c.id = a.id")
+@query("overlay_join", "SELECT a.id, coalesce(c.title, 'request') AS title FROM articles a LEFT JOIN (SELECT substr(id, 2) AS id, CASE WHEN type <> 'memo' THEN title END AS title FROM cards) c ON c.id = a.id")
 def _(t):
-    stored = t.cards.where("seq % 2 = 0").select(F.expr("substr(id, 2)").alias("id"), "title")
+    stored = t.cards.select(F.expr("substr(id, 2)").alias("id"), F.expr("case when type <> 'memo' then title end").alias("title"))
     return L.overlaid(t.articles.select("id", F.lit("request").alias("title")), stored, ["title"])
 
 
@@ -270,16 +270,18 @@ def _(t):
     return L.repaired(raw, AS_OF).select("id", "valid", F.col("published").cast("string").alias("published"))
 
 
-@query("import_articles", """SELECT 'card_from_' || id AS id, url FROM articles WHERE url NOT IN (SELECT url FROM cards WHERE url <> '' AND seq < 500)""")
+@query("import_articles", """SELECT 'card_from_' || id AS id, url FROM articles WHERE url NOT IN (SELECT url FROM cards WHERE url <> '')""")
 def _(t):
-    return files.imported(t.cards.where("seq < 500"), t.articles).select("id", "url")
+    return files.imported(t.cards, t.articles).select("id", "url")
 
 
 @query("legacy_merge", """SELECT 'cards' AS relation, count(*) AS n FROM new UNION ALL SELECT 'tags', count(*) FROM card_tags WHERE card_id IN (SELECT id FROM new)
-UNION ALL SELECT 'links', count(*) FROM card_links WHERE source_card_id IN (SELECT id FROM new) AND target_card_id IN (SELECT id FROM new UNION SELECT id FROM cards WHERE seq % 2 = 0)""",
-       "new AS (SELECT * FROM cards WHERE seq % 2 <> 0 AND (url = '' OR url NOT IN (SELECT url FROM cards WHERE seq % 2 = 0)))")
+UNION ALL SELECT 'links', count(*) FROM card_links WHERE source_card_id IN (SELECT id FROM new) AND target_card_id IN (SELECT id FROM new UNION SELECT id FROM had)""",
+       "had AS (SELECT CASE WHEN type = 'idea' THEN 's' || id ELSE id END AS id, CASE WHEN type = 'idea' THEN '' ELSE url END AS url FROM cards)",
+       "new AS (SELECT * FROM cards WHERE id NOT IN (SELECT id FROM had) AND (url = '' OR url NOT IN (SELECT url FROM had)))")
 def _(t):
-    out = files.merged(t.cards.where("seq % 2 = 0"), t.cards, t.card_tags, t.card_links)
+    had = t.cards.select(F.expr("case when type = 'idea' then concat('s', id) else id end").alias("id"), F.expr("case when type = 'idea' then '' else url end").alias("url"))
+    out = files.merged(had, t.cards, t.card_tags, t.card_links)
     return files.union_all([df.agg(F.lit(n).alias("relation"), F.count("*").alias("n")) for n, df in zip(("cards", "tags", "links"), out, strict=True)])
 
 
@@ -607,9 +609,9 @@ def _(t):
     return R.postings(R.tokenised(t.articles)).groupBy("id").agg(F.count("*").alias("n_terms"))
 
 
-@query("index_parity", "SELECT 'missing' AS side, count(*) AS n FROM cards WHERE seq % 6 = 0 UNION ALL SELECT 'stale', count(*) FROM cards WHERE archived AND seq % 6 <> 0")
+@query("index_parity", "SELECT 'missing' AS side, count(*) AS n FROM cards WHERE type = 'memo' UNION ALL SELECT 'stale', count(*) FROM cards WHERE archived AND type <> 'memo'")
 def _(t):
-    live, index = t.cards.where("not archived or seq % 6 = 0"), t.cards.where("seq % 6 <> 0")
+    live, index = t.cards.where("not archived or type = 'memo'"), t.cards.where("type <> 'memo'")
     sides = (("missing", live, index), ("stale", index, live))
     return files.union_all([a.join(b.select("id"), "id", "left_anti").agg(F.lit(n).alias("side"), F.count("*").alias("n")) for n, a, b in sides])
 
@@ -704,17 +706,19 @@ def _(t):
 
 # ---------------------------------------------------------------- evaluation
 
-QRELS = ("qrels AS (SELECT source AS query_id, id FROM articles WHERE doc_id % 50 = 1 OR doc_id % 3 = 0 AND doc_id < 120)",
-         "rk AS (SELECT source AS query_id, id, row_number() OVER (PARTITION BY source ORDER BY length(body) DESC, id) AS rank FROM articles)",
+# Each source is a query: its good articles are relevant, and the ranking is the engine's own.
+QRELS = (*RANK, "qrels AS (SELECT source AS query_id, id FROM articles WHERE source_authority > 0.5)",
+         "rk AS (SELECT source AS query_id, s.id, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, s.id) AS rank FROM scored s JOIN articles a ON a.id = s.id WHERE score > 0)",
          "nr AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY query_id)",
-         "per AS (SELECT nr.query_id, n_rel, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS p1, count_if(rank <= n_rel) / n_rel AS r_prec, coalesce(1 / min(rank), 0) AS mrr, count_if(rank <= 5) / n_rel AS recall5, coalesce(sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) END), 0) / list_sum([1 / log2(k + 1) FOR k IN range(1, least(n_rel, 5) + 1)]) AS ndcg5 FROM nr JOIN (SELECT rk.* FROM rk JOIN qrels USING (query_id, id)) h USING (query_id) GROUP BY nr.query_id, n_rel)")
+         "per AS (SELECT nr.query_id, n_rel, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS p1, count_if(rank <= n_rel) / n_rel AS r_prec, coalesce(1 / min(rank), 0) AS mrr, count_if(rank <= 5) / n_rel AS recall5, coalesce(sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) END), 0) / list_sum([1 / log2(k + 1) FOR k IN range(1, least(n_rel, 5) + 1)]) AS ndcg5 FROM nr LEFT JOIN (SELECT rk.* FROM rk JOIN qrels USING (query_id, id)) h ON h.query_id = nr.query_id GROUP BY nr.query_id, n_rel)")
 
 
 def _eval(t):
     from pyspark.sql import Window
 
-    qrels = t.articles.where("doc_id % 50 = 1 or doc_id % 3 = 0 and doc_id < 120").select(F.col("source").alias("query_id"), "id")
-    ranks = t.articles.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.length("body")), "id"))).select(F.col("source").alias("query_id"), "id", "rank")
+    qrels = t.articles.where("source_authority > 0.5").select(F.col("source").alias("query_id"), "id")
+    found = R.scored(t.articles, MODE, AS_OF).where("score > 0").join(t.articles.select("id", F.col("source").alias("query_id")), "id")
+    ranks = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*R.by("score")))).select("query_id", "id", "rank")
     return ranks, qrels
 
 
