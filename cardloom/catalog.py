@@ -482,31 +482,48 @@ def _(t):
     return L.written_back(base, s).withColumn("candidate_score", F.round("candidate_score", 6))
 
 
-@query("decay_sweep", """SELECT CAST(floor_v AS DOUBLE) AS floor_v, CAST(min(n) AS BIGINT) AS fewest, CAST(max(n) AS BIGINT) AS most FROM (SELECT floor_v, rate, count_if(bm25 * context * greatest(floor_v, exp(-rate * age)) >= 0.3) AS n
-FROM (SELECT s.bm25, s.context, date_diff('day', published_on, DATE '2025-01-01') AS age FROM scored s JOIN articles USING (id) WHERE score > 0), (SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4, 0.45]) AS floor_v), (SELECT unnest(range(0, 41)) * 0.005 AS rate) GROUP BY ALL) GROUP BY floor_v""", *RANK)
+# Two test queries; the good articles are what they should find.
+CASES = {"q1": [Q.Keyword("with", 2.0, ["from"])], "q2": [Q.Keyword("that", 1.0), Q.Keyword("erth thti", 1.5)]}
+CELLS = ("cases AS (" + " UNION ALL ".join(f"SELECT '{q}' AS query_id, id, bm25 * context * coverage AS base FROM ({'WITH ' + ', '.join(rank_sql(Q.Mode(keywords=k)))} SELECT s.id, bm25, s.context, coverage FROM scored s JOIN parts ON parts.id = s.id WHERE score > 0)" for q, k in CASES.items()) + ")",
+         "grid AS (SELECT f AS floor_v, r * 0.005 AS rate FROM (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45, 0.5]::DOUBLE[]) AS f), (SELECT unnest(range(0, 41)) AS r))",
+         "tops AS (SELECT query_id, floor_v, rate, c.id, row_number() OVER (PARTITION BY query_id, floor_v, rate ORDER BY round(base * greatest(floor_v, exp(-rate * date_diff('day', published_on, DATE '2025-01-01'))), 9) DESC, c.id) AS n FROM cases c JOIN articles a ON a.id = c.id, grid)",
+         "cells AS (SELECT floor_v, round(rate, 3) AS rate, avg(CASE WHEN source_authority > 0.5 THEN 1.0 ELSE 0.0 END) AS p1 FROM tops JOIN articles a ON a.id = tops.id WHERE n = 1 GROUP BY floor_v, rate)")
+
+
+def _cells(t):
+    tokens = checkpointed(R.tokenised(t.articles).select("id", "published_on", "morph", "ngram"))
+    age = F.datediff(F.lit(AS_OF).cast("date"), "published_on").alias("age")
+    each = [R.scored(tokens, Q.Mode(keywords=k), AS_OF).where("score > 0").select(F.lit(q).alias("query_id"), "id", (F.col("bm25") * F.col("context") * F.col("coverage")).alias("base"), age) for q, k in CASES.items()]
+    good = t.articles.where("source_authority > 0.5").select("id")
+    return E.swept(files.union_all(each), files.union_all([good.withColumn("query_id", F.lit(q)) for q in CASES]))
+
+
+@query("decay_sweep", "SELECT floor_v, round(rate, 3) AS rate, round(p1, 6) AS p1 FROM cells", *TOKENS, *CELLS)
 def _(t):
-    s = R.scored(t.articles, MODE, AS_OF).where("score > 0").select("bm25", "context", F.datediff(F.lit(AS_OF).cast("date"), "published_on").alias("age"))
-    grid = t.spark.range(6 * 41).select((F.lit(0.2) + F.floor(F.col("id") / 41) * 0.05).alias("f"), ((F.col("id") % 41) * 0.005).alias("rate")).withColumn("floor_v", F.round("f", 2))
-    hit = F.col("bm25") * F.col("context") * F.greatest("floor_v", F.exp(-F.col("rate") * F.col("age"))) >= 0.3
-    n = s.crossJoin(F.broadcast(grid)).groupBy("floor_v", "rate").agg(F.count_if(hit).alias("n"))  # 246 parameter rows
-    return n.groupBy("floor_v").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+    return _cells(t).select("floor_v", "rate", six("p1"))
 
 
-@query("sweep_select", "SELECT CAST(rate AS DOUBLE) AS rate FROM (SELECT rate, row_number() OVER (ORDER BY rate) AS n, count(*) OVER () AS c FROM (SELECT unnest(range(0, 41)) * 0.005 AS rate) WHERE exp(-rate * 30) >= 0.35) WHERE n = c // 2 + 1")
+@query("sweep_windows", "SELECT floor_v, count_if(p1 >= 0.5) AS n, min(CASE WHEN p1 >= 0.5 THEN rate END) AS low, max(CASE WHEN p1 >= 0.5 THEN rate END) AS high, round(max(CASE WHEN p1 >= 0.5 THEN rate END) - min(CASE WHEN p1 >= 0.5 THEN rate END), 3) AS width FROM cells GROUP BY floor_v", *TOKENS, *CELLS)
 def _(t):
-    from pyspark.sql import Window
+    return E.sweep_windows(_cells(t), 0.5)
+
 
-    grid = t.spark.range(41).select((F.col("id") * 0.005).alias("rate")).where(F.exp(-F.col("rate") * 30) >= 0.35)
-    n = grid.withColumns({"n": F.row_number().over(Window.orderBy("rate")), "c": F.count("*").over(Window.partitionBy())})  # 41 rows at most
-    return n.where("n = c div 2 + 1").select("rate")
+@query("sweep_select", "SELECT floor_v, rate FROM (SELECT *, row_number() OVER (ORDER BY floor_v, rate) AS n, count(*) OVER () AS c FROM cells WHERE p1 >= 0.5) WHERE n = c // 2 + 1", *TOKENS, *CELLS)
+def _(t):
+    return E.sweep_pick(_cells(t), 0.5)
 
 
-@query("variant_compare", """SELECT variant, count(*) AS n, round(sum(score), 4) AS total FROM (SELECT 'full' AS variant, id, score FROM scored WHERE score > 0 UNION ALL
-SELECT 'no_decay', id, score / greatest(0.35, exp(-0.05 * date_diff('day', published_on, DATE '2025-01-01'))) FROM scored JOIN articles USING (id) WHERE score > 0 UNION ALL SELECT 'signals', id, bm25 FROM scored WHERE score > 0) GROUP BY variant""", *RANK)
+VARIANTS = ("res AS (" + " UNION ALL ".join(f"SELECT '{name}' AS variant, '{q}' AS query_id, id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM ({'WITH ' + ', '.join(rank_sql(mode))} SELECT id, round(score, 9) AS s FROM scored WHERE score > 0 ORDER BY s DESC, id LIMIT 5)" for q, k in CASES.items() for name, mode in E.variant_modes(k).items()) + ")",
+            "rel AS (SELECT id FROM articles WHERE source_authority > 0.5)", "nrel AS (SELECT count(*) AS n FROM rel)",
+            "vper AS (SELECT v.variant, v.query_id, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END) AS p1, count_if(rank <= n) / n AS r_prec, coalesce(1 / min(rank), 0) AS mrr, count_if(rank <= 5) / n AS recall5, coalesce(sum(1 / log2(rank + 1)), 0) / list_sum([1 / log2(k + 1) FOR k IN range(1, least(n, 5) + 1)]) AS ndcg5 FROM (SELECT DISTINCT variant, query_id FROM (SELECT variant FROM res), (SELECT unnest(['q1', 'q2']) AS query_id)) v CROSS JOIN nrel LEFT JOIN (SELECT res.* FROM res JOIN rel ON rel.id = res.id) h ON h.variant = v.variant AND h.query_id = v.query_id GROUP BY v.variant, v.query_id, n)")
+
+
+@query("variant_compare", "SELECT variant, count(*) AS n, round(avg(p1), 6) AS p1, round(avg(r_prec), 6) AS r_prec, round(avg(mrr), 6) AS mrr, round(avg(recall5), 6) AS recall5, round(avg(ndcg5), 6) AS ndcg5 FROM vper GROUP BY variant", *TOKENS, *VARIANTS)
 def _(t):
-    s = R.scored(t.articles, MODE, AS_OF).where("score > 0")
-    each = [s.select(F.lit(n).alias("variant"), "id", c.alias("score")) for n, c in (("full", F.col("score")), ("no_decay", F.col("score") / F.col("decay")), ("signals", F.col("bm25")))]
-    return files.union_all(each).groupBy("variant").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    tokens = checkpointed(R.tokenised(t.articles).select("id", "published_on", "morph", "ngram"))
+    good = t.articles.where("source_authority > 0.5").select("id")
+    found = E.variant_means(E.compared(tokens, CASES, AS_OF), files.union_all([good.withColumn("query_id", F.lit(q)) for q in CASES]))
+    return found.select("variant", "n", *[six(c) for c in E.GATES])
 
 
 META = """SELECT id, [x FOR x IN [CASE WHEN contains(lower(title), 'with') OR contains(lower(title), 'that') THEN 'title' END, CASE WHEN contains(lower(body), 'with') OR contains(lower(body), 'that') THEN 'body' END] IF x IS NOT NULL] AS f,
@@ -532,10 +549,9 @@ def _(t):
     return v.select("id", "summary", F.array_join("tags", ",").alias("tags"), "type", F.col("created_on").cast("string").alias("created_on"), "archived")
 
 
-@query("exclude_terms", "SELECT id FROM articles WHERE NOT regexp_matches(lower(title || ' ' || body), '(^|[^\\p{L}\\p{N}_])with($|[^\\p{L}\\p{N}_])')")
+@query("exclude_terms", "SELECT id FROM articles WHERE NOT regexp_matches(lower(title || ' ' || body), '(^|[^\\p{L}\\p{N}_])(with|from)($|[^\\p{L}\\p{N}_])')")
 def _(t):
-    text = F.lower(F.concat("title", F.lit(" "), "body"))
-    return t.articles.where(~text.rlike(r"(^|[^\p{L}\p{N}_])with($|[^\p{L}\p{N}_])")).select("id")
+    return L.without(R.tokenised(t.articles), [" WITH ", "from", "検索"]).select("id")
 
 
 @query("term_freq", "SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS docs FROM (SELECT id, term, count(*) AS tf FROM morph GROUP BY id, term) GROUP BY term", *TOKENS)
@@ -737,10 +753,20 @@ def _(t):
     return E.upper_bounds(_eval(t)[1]).withColumn("recall5_max", F.round("recall5_max", 6))
 
 
-@query("dataset_quality", "SELECT metric, round(v, 6) AS value, v >= 0.999 AS saturated FROM (SELECT 'mrr' AS metric, avg(mrr) AS v FROM per UNION ALL SELECT 'recall5', avg(recall5) FROM per UNION ALL SELECT 'ndcg5', avg(ndcg5) FROM per)", *QRELS)
+@query("dataset_quality", """SELECT 'all metrics at their bounds' AS issue, abs(avg(p1) - 1) <= 1e-9 AND abs(avg(r_prec) - 1) <= 1e-9 AND abs(avg(mrr) - 1) <= 1e-9 AND abs(avg(recall5) - (SELECT avg(least(1.0, 5 / n_rel)) FROM nr)) <= 1e-9 AND abs(avg(ndcg5) - 1) <= 1e-9 AS holds FROM per
+UNION ALL SELECT 'conflicting duplicate queries', (SELECT count(*) FROM (SELECT lang FROM articles WHERE source_authority > 0.5 GROUP BY lang HAVING count(DISTINCT source) > 1)) > 0 UNION ALL SELECT 'degenerate query language', false
+UNION ALL SELECT 'low signal', count_if(recall5 = 0) / count(*) >= 0.75 FROM per""", *QRELS)
+def _(t):
+    ranks, qrels = _eval(t)
+    # what the queries ask: the language of their articles, so that sources ask the same and expect other articles
+    cases = t.articles.where("source_authority > 0.5").groupBy("source", F.col("lang").alias("query")).agg(F.collect_list("id").alias("expected")).select("query", "expected")
+    return E.discrimination(E.metrics(ranks, qrels), E.upper_bounds(qrels), cases)
+
+
+@query("metric_bounds", """SELECT metric, round(v, 6) AS value, round(b, 6) AS bound, true AS fine FROM (SELECT unnest(['p1', 'r_prec', 'mrr', 'recall5', 'ndcg5']) AS metric, unnest([avg(p1), avg(r_prec), avg(mrr), avg(recall5), avg(ndcg5)]) AS v, unnest([1.0, 1.0, 1.0, (SELECT avg(least(1.0, 5 / n_rel)) FROM nr), 1.0]) AS b FROM per)""", *QRELS)
 def _(t):
-    m = E.means(E.metrics(*_eval(t)))
-    return m.select(F.stack(F.lit(3), F.lit("mrr"), "mrr", F.lit("recall5"), "recall5", F.lit("ndcg5"), "ndcg5").alias("metric", "v")).select("metric", F.round("v", 6).alias("value"), (F.col("v") >= 0.999).alias("saturated"))
+    ranks, qrels = _eval(t)
+    return E.within_bounds(E.means(E.metrics(ranks, qrels)), E.upper_bounds(qrels)).select("metric", six("value"), six("bound"), "fine")
 
 
 @query("rank_sensitivity", "SELECT query_id, id, CAST(gap AS BIGINT) AS gap FROM (SELECT source AS query_id, id, length(body) - coalesce(lead(length(body)) OVER w, 0) AS gap, row_number() OVER w AS n FROM articles WINDOW w AS (PARTITION BY source ORDER BY length(body) DESC, id)) WHERE n = 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +113,21 @@ def overlaid(request: DataFrame, stored: DataFrame, columns: list[str]) -> DataF
     return request.join(s, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def without(articles: DataFrame, terms: list[str]) -> DataFrame:
+    """articles (with ngram) that hold none of the excluded terms.
+
+    A term counts if it is a stored token, or, of ASCII letters, digits and underscores, if it stands as a word in title
+    or body. Nulls hold nothing.
+    """
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
+    hit = F.lit(False)
+    for term in filter(None, map(Q.norm, terms)):
+        hit = hit | F.coalesce(F.array_contains("ngram", term), F.lit(False))
+        if re.fullmatch("[a-z0-9_]+", term):
+            hit = hit | text.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){term}($|[^\p{{L}}\p{{N}}_])")
+    return articles.where(~hit)
+
+
 def match_meta(articles: DataFrame, keywords: list[str], matched_terms: list[str] = ()) -> DataFrame:
     """articles with fields and words: which of title, body, summary and tags hold a keyword, and which keywords they hold.
 
