@@ -60,10 +60,10 @@ def test_substring_common_words(spark):
     assert got == repeated(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("counts", [(100, 3), (3, 100), (100, 100)])
+@pytest.mark.parametrize("counts", [(100, 3), (3, 100), (100, 3, 3), (3, 100, 3), (3, 3, 100)])
 def test_substring_hot_anchor_of_another_batch(spark, counts):
     # a passage in 100 surroundings that one task reads is dealt by content; there are buckets enough to miss its own
-    confs = {"spark.sql.shuffle.partitions": "128", "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+    confs = {"spark.sql.shuffle.partitions": "48", "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
     before = {k: spark.conf.get(k, None) for k in confs}
     r, texts = random.Random(8), []
     words = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
@@ -75,7 +75,7 @@ def test_substring_hot_anchor_of_another_batch(spark, counts):
         for k, v in confs.items():
             spark.conf.set(k, v)
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.dedup(docs, batches=2).collect()}
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.dedup(docs, batches=len(counts), fanout=2).collect()}
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
