@@ -462,14 +462,88 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert got == Counter([*zip(ids, alone, strict=True), (8, same), (5, ""), (None, None), (None, "")])
 
 
+EDGE_IDS = [None, None, 5, 5, *range(6, 6 + len(ODD) - 4), 3, 3, 3]
+EDGE_TEXTS = [*ODD, "same text of one row", "same text of one row", "same text of one row"]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op5", "op7", "op8", "op9", "op10"])
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, name):
+    import public_tokenizers as P
+
+    run = {
+        "op1": lambda d: substring.dedup(d, batches=2),
+        "op2": mixing.mix,
+        "op4": lambda d: bpe.encode(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+        "op5": lambda d: quality.judge(d, [[("symbol_share", ">", 0.2)]]),
+        "op7": lambda d: sharding.shard(d, 5),
+        "op8": jaccard.link_classes,
+        "op9": lambda d: langid.predict(d, langid.learned(spark.read.parquet(f"{SF}/documents.parquet"))),
+        "op10": licenses.scan,
+    }[name]
+    docs = table(spark, EDGE_TEXTS, EDGE_IDS)
+    docs = docs.unionByName(spark.createDataFrame([(None, "a text without the rest " * 4000, None, None, None, None, None, None)], SCHEMA))
+    out = run(docs)
+    assert len(out.columns) == len(set(out.columns))
+    assert Counter(r.doc_id for r in out.collect()) == Counter([*EDGE_IDS, None])
+    assert run(docs.limit(0)).count() == 0
+
+
+def test_pages_with_nulls_repeats_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>Sentence number {i} of a long page, with words.</p>" for i in range(20000)) + "</article>"
+    rows = [(1, "u", None, "x", 1), (None, None, "<p>One text, here it is. And more of it.</p>", "x", 2), (2, "u", long, "x", 3), (2, "u", long, "x", 3)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"), html.train(80)).collect()
+    assert Counter(r.page_id for r in out) == Counter([1, None, 2, 2])
+    assert [r.n_chars for r in out if r.page_id == 2] == [sum(len(f"Sentence number {i} of a long page, with words.") for i in range(20000)) + 19999] * 2
+    assert [r.text for r in out if r.page_id == 1] == [""]
+
+
+def test_neighbours_of_repeated_rows_and_ties(spark):
+    rows = [(i, [float(i // 3), 1.0], "x") for i in range(60)] + [(None, [1.0, 2.0], "x"), (7, [2.0, 1.0], "x"), (7, [2.0, 1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = defaultdict(list)
+    for r in neighbours.search_table(df, 10).collect():
+        got[r.query_id].append((r.rank, r.score, r.vec_id))
+    for q in range(0, 60, 10):
+        every = sorted((abs(i // 3 - q // 3), i) for i in [*range(60), 7, 7] if i != q)[:10]
+        assert [s for _, s, _ in sorted(got[q])] == [float(d) for d, _ in every]
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage on its own input, against a brute-force version of it."""
     import corpus_pipeline as p
+    import duckdb
+    import public_tokenizers as P
+    import tiktoken
 
+    given = {}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in p.STAGES[:-1]:
+    for name, stage in p.STAGES:
+        given[name] = [tuple(r) for r in docs.select(*p.COLUMNS).collect()]
         made = stage(spark, docs, SF)
-        assert made.columns == p.COLUMNS, name
+        assert name == p.STAGES[-1][0] or made.columns == p.COLUMNS, name
         made.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        assert docs.count() > 0, name
-    assert p.STAGES[-1][1](spark, docs, SF).where("n_tokens > 0").count() > 0
+    last = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in docs.collect())
+    # language: what goes has no text of one language; what stays bears the learned name of it
+    kept = {r[0] for r in given["jaccard_join"]}
+    assert kept <= {r[0] for r in given["language_id"]} and len(kept) > 0.9 * len(given["language_id"])
+    assert all(any(c.isalpha() for c in r[1]) for r in given["jaccard_join"])
+    # near copies: the smallest id of each component
+    groups = linked([(r[0], r[1]) for r in given["jaccard_join"]])
+    assert Counter(r for r in given["jaccard_join"] if groups[r[0]][1] == r[0]) == Counter(given["substring_dedup"])
+    # passages: the words that are left
+    left = repeated([(r[0], r[1]) for r in given["substring_dedup"]])
+    assert {r[0]: hashlib.sha256(r[1].encode()).hexdigest() for r in given["mix_sources"]} == {i: sha for i, (_, _, sha) in left.items()}
+    # mixture: the budgets' statement in SQL, read out
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/substring_dedup/*.parquet'")
+    texts, want = {r[0]: r[1] for r in given["mix_sources"]}, Counter()
+    for i, _, _, _, _, copies, cut in db.execute(mixing.OP2_SQL.replace("* 60 //", f"* {p.BUDGET_PERCENT} //")).fetchall():
+        want[i, texts[i]] += copies
+        if cut:
+            want[i, b" ".join(SPACE.findall(texts[i].encode())[:cut]).decode()] += 1
+    assert Counter((r[0], r[1]) for r in given["byte_bpe"]) == +want
+    # tokens: the public library
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    ids = [(r[0], lib.encode_ordinary(r[1])) for r in given["byte_bpe"]]
+    assert last == Counter((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in ids)
