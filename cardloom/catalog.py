@@ -485,7 +485,7 @@ def _(t):
 # Two test queries; the good articles are what they should find.
 CASES = {"q1": [Q.Keyword("with", 2.0, ["from"])], "q2": [Q.Keyword("that", 1.0), Q.Keyword("erth thti", 1.5)]}
 CELLS = ("cases AS (" + " UNION ALL ".join(f"SELECT '{q}' AS query_id, id, bm25 * context * coverage AS base FROM ({'WITH ' + ', '.join(rank_sql(Q.Mode(keywords=k)))} SELECT s.id, bm25, s.context, coverage FROM scored s JOIN parts ON parts.id = s.id WHERE score > 0)" for q, k in CASES.items()) + ")",
-         "grid AS (SELECT f AS floor_v, r * 0.005 AS rate FROM (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45, 0.5]::DOUBLE[]) AS f), (SELECT unnest(range(0, 41)) AS r))",
+         "grid AS (SELECT f AS floor_v, (r * 0.005)::DOUBLE AS rate FROM (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45, 0.5]::DOUBLE[]) AS f), (SELECT unnest(range(0, 41)) AS r))",
          "tops AS (SELECT query_id, floor_v, rate, c.id, row_number() OVER (PARTITION BY query_id, floor_v, rate ORDER BY round(base * greatest(floor_v, exp(-rate * date_diff('day', published_on, DATE '2025-01-01'))), 9) DESC, c.id) AS n FROM cases c JOIN articles a ON a.id = c.id, grid)",
          "cells AS (SELECT floor_v, round(rate, 3) AS rate, avg(CASE WHEN source_authority > 0.5 THEN 1.0 ELSE 0.0 END) AS p1 FROM tops JOIN articles a ON a.id = tops.id WHERE n = 1 GROUP BY floor_v, rate)")
 
@@ -607,11 +607,6 @@ def _(t):
     return R.hybrid(base, R.fts(tokens, ["with", "from"])).select("id", six("hybrid"))
 
 
-@query("rank_pipeline")
-def _(t):
-    return R.pipeline(t.articles, MODE, AS_OF).select("id", "title", "below", F.col("position").cast("long").alias("position"), six("score"))
-
-
 @query("index_sync", """SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 3 = 1 THEN 'changed' ELSE 'kept' END AS was, (SELECT count(*) FROM ng WHERE ng.id = a.id) AS n_terms FROM articles a""", *TOKENS)
 def _(t):
     # each article is new, changed or as it was: the index after an upkeep by content hash
@@ -668,11 +663,32 @@ def _(t):
     return exact.agg(F.count("*").alias("exact")).crossJoin(F.broadcast(hit)).withColumn("recall", F.when(F.col("exact") == 0, 1.0).otherwise(F.col("hit") / F.col("exact")))
 
 
+# documents in order of worth, each one kept unless a neighbour was; those without neighbours stay
+STAY = (*PAIRS,
+        "worth AS (SELECT sig.id, sig.s, length(body) * source_authority AS worth FROM sig JOIN articles a ON a.id = sig.id)",
+        "best AS (SELECT rep.id AS class, w.id, worth FROM worth w JOIN rep ON rep.s = w.s QUALIFY row_number() OVER (PARTITION BY w.s ORDER BY worth DESC, w.id) = 1)",
+        "edge AS (SELECT x.id AS a, y.id AS b FROM (SELECT a, b FROM near WHERE jaccard >= 0.8 UNION ALL SELECT b, a FROM near WHERE jaccard >= 0.8) e JOIN best x ON x.class = e.a JOIN best y ON y.class = e.b)",
+        "turn AS (SELECT id, row_number() OVER (ORDER BY max(worth) DESC, id) AS n, list(b) AS nb FROM best JOIN edge ON a = id GROUP BY id)",
+        "walk AS (WITH RECURSIVE g(n, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT turn.n, CASE WHEN list_has_any(kept, nb) THEN kept ELSE list_append(kept, id) END FROM g JOIN turn ON turn.n = g.n + 1) SELECT unnest(kept) AS id FROM g WHERE n = (SELECT count(*) FROM turn))",
+        "stay AS (SELECT id FROM best WHERE id NOT IN (SELECT id FROM turn) UNION ALL SELECT id FROM walk)")
+
+
 @query("lsh_dedup")
 def _(t):
     return D.deduplicated(t.articles).select("id")
 
 
+@query("exact_dedup", "SELECT id FROM stay", *STAY)
+def _(t):
+    return D.deduplicated(t.articles, exact=True).select("id")
+
+
+@query("rank_pipeline", "SELECT id, title, round(score, 9) < 0.5 AS below, row_number() OVER (ORDER BY round(score, 9) < 0.5, round(score, 9) DESC, id) AS position, round(score, 6) AS score FROM scored JOIN kept_articles USING (id) WHERE score > 0 ORDER BY position LIMIT 50",
+       *STAY, "kept_articles AS (SELECT articles.* FROM articles JOIN stay USING (id))", *[x.replace("articles", "kept_articles") for x in RANK])
+def _(t):
+    return R.pipeline(t.articles, MODE, AS_OF, exact=True).select("id", "title", "below", F.col("position").cast("long").alias("position"), six("score"))
+
+
 # ---------------------------------------------------------------- changes of cards and groups
 
 

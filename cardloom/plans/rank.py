@@ -144,12 +144,12 @@ def two_stage(results: DataFrame, threshold: float, limit: int) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy("below", *by("score"))))  # at most 500 rows
 
 
-def pipeline(docs: DataFrame, mode: Q.Mode, as_of: str, dedup: float = 0.8, threshold: float = 0.5, limit: int = 50, floor: float = 0.35) -> DataFrame:
+def pipeline(docs: DataFrame, mode: Q.Mode, as_of: str, dedup: float = 0.8, threshold: float = 0.5, limit: int = 50, floor: float = 0.35, exact: bool = False) -> DataFrame:
     """The whole ranking: near duplicates go first, so that statistics are of what stays; then scores and two stages.
 
     All columns of docs for the rows that are returned, with the score, its parts, below, reason and position.
     """
-    top = two_stage(scored(deduplicated(docs, dedup), mode, as_of, floor).where("score > 0"), threshold, limit)
+    top = two_stage(scored(deduplicated(docs, dedup, exact), mode, as_of, floor).where("score > 0"), threshold, limit)
     return docs.join(F.broadcast(top.drop("published_on")), "id")  # 500 rows at most
 
 
