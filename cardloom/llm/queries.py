@@ -14,4 +14,4 @@ QUERIES = {
     "op9_language_id": langid.op9,
     "op10_license_scan": licenses.op10,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
+ORACLES = {"op1_substring_dedup": substring.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op8_jaccard_join": jaccard.OP8_SQL}

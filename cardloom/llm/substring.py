@@ -402,3 +402,16 @@ def dedup(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fanout: i
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup(docs.select("doc_id", "text"), with_text=False)
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS s FROM d),
+w AS (SELECT doc_id, s, array_to_string(ws[s:s + {WIDTH - 1}], ' ') AS k FROM p),
+r AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WIDTH})) AS i FROM r),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -315,6 +315,17 @@ def test_mixing_of_repeated_rows(spark, tmp_path):
     assert got == Counter(db.execute(queries.ORACLES["op2_mix_sources"]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op8_jaccard_join"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = db.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    assert Counter(tuple(r) for r in queries.QUERIES[name](spark, SF).select(*columns).collect()) == Counter(found.fetchall())
+
+
 def test_mixing_gives_shortages_to_siblings(spark):
     rows = [("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d1", "en", "c", 1000)]
     leaves = spark.createDataFrame(rows, "domain string, language string, leaf string, tokens long")
