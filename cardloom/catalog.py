@@ -290,6 +290,11 @@ def _(t):
     return t.jobs.orderBy(F.desc("seq")).select("id", "type", "status", "result_json")
 
 
+@query("job_lookup", "SELECT id, type, status, result_json FROM jobs WHERE id = 'j42'")
+def _(t):
+    return L.job(t.jobs, "j42").select("id", "type", "status", "result_json")
+
+
 @query("job_recovery", "SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status FROM jobs")
 def _(t):
     return L.recovered(t.jobs).select("id", "status")
@@ -835,6 +840,19 @@ def _(t):
     return files.from_json(t.spark.range(1).select(F.lit(text).alias("text"))).select("title", "body", F.array_join("tags", ",").alias("tags"))
 
 
+@query("article_migration", """SELECT id, t AS title, url, source_authority, CASE WHEN doc_id % 5 = 0 THEN '2025-01-01' ELSE published_on::VARCHAR END AS published, CASE WHEN doc_id % 2 = 0 THEN 2 END AS doc_length
+FROM (SELECT *, trim(title, chr(32)) AS t FROM articles) WHERE t <> '' AND doc_id % 3 <> 0""")
+def _(t):
+    # every article as stored JSON, in either spelling, some with a bad date, some without a url
+    even, url = F.expr("doc_id % 2 = 0"), F.when(F.expr("doc_id % 3 <> 0"), F.col("url"))
+    day = F.when(F.expr("doc_id % 5 = 0"), "soon").otherwise(F.col("published_on").cast("string"))
+    old = F.struct("id", "title", url.alias("url"), "source_authority", day.alias("published_at"))
+    new = F.struct("id", "title", url.alias("url"), F.col("source_authority").alias("sourceAuthority"), day.alias("publishedAt"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+    texts = t.articles.select(F.concat(F.lit("["), F.when(even, F.to_json(new)).otherwise(F.to_json(old)), F.lit("]")).alias("text"))
+    kept, _ = files.from_stored(texts, AS_OF)
+    return kept.select("id", "title", "url", "source_authority", F.col("published_on").cast("string").alias("published"), "doc_length")
+
+
 @query("stream_upsert", """SELECT id, title, first_seen_on::VARCHAR AS first_seen FROM (SELECT id, title, url, published_on AS first_seen_on, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS n FROM articles) WHERE n = 1""")
 def _(t):
     # all articles as a stream into an empty store; a second run of the same stream adds nothing

@@ -89,6 +89,10 @@ def recovered(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "failed").otherwise(F.col("status")))
 
 
+def job(jobs: DataFrame, id_: str) -> DataFrame:
+    return jobs.where(F.col("id") == id_)
+
+
 def last_states(log: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return log.groupBy(key).agg(F.max_by("status", order).alias("status"), F.max(order).alias("seq"))

@@ -73,6 +73,32 @@ def from_json(texts: DataFrame) -> DataFrame:
     return df.select(F.when(none, F.concat(F.lit("Data "), (F.col("at") + 1).cast("string"))).otherwise(F.col("title")).alias("title"), body.alias("body"), some.alias("tags"), F.when(~none, F.nullif("url", F.lit(""))).alias("url"), summary.alias("summary"))
 
 
+# Fields of a stored article, each with its two spellings.
+STORED = "id string, title string, body string, url string, source string, sourceAuthority double, source_authority double, publishedAt string, published_at string, summary string, tags array<string>, tokens array<string>, docLength long, doc_length long"
+
+
+def read_articles(spark: SparkSession, path: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """Articles of JSON array files, and what they reject (text); see from_stored."""
+    return from_stored(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"), now)
+
+
+def from_stored(texts: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Articles of JSON texts (text), each an array of articles, and the entries without id, title or url as JSON.
+
+    Names have either spelling. Without an authority it is 0, a bad date becomes now, and without a length it is the
+    number of tokens. A text that is no array gives nothing.
+    """
+    entries = texts.select(F.explode(F.from_json("text", "array<string>")).alias("text"))
+    one = entries.select("text", F.from_json("text", STORED).alias("a"))
+    given = lambda c: F.trim(F.coalesce(F.col(f"a.{c}"), F.lit("")))
+    fine = (given("id") != "") & (given("title") != "") & (given("url") != "")
+    authority = F.coalesce("a.sourceAuthority", "a.source_authority", F.lit(0.0))
+    published = F.coalesce(F.try_to_timestamp(F.coalesce("a.publishedAt", "a.published_at")).cast("date"), F.lit(now).cast("date"))
+    length = F.coalesce("a.docLength", "a.doc_length", F.when(F.col("a.tokens").isNotNull(), F.size("a.tokens").cast("long")))
+    kept = one.where(fine).select(given("id").alias("id"), given("title").alias("title"), F.coalesce("a.body", F.lit("")).alias("body"), given("url").alias("url"), "a.source", authority.alias("source_authority"), published.alias("published_on"), "a.summary", "a.tags", "a.tokens", length.alias("doc_length"))
+    return kept, one.where(~F.coalesce(fine, F.lit(False))).select("text")
+
+
 def imported(cards: DataFrame, articles: DataFrame) -> DataFrame:
     """Cards for the articles that have none: by id card_from_<id>, or by a url in use."""
     new = articles.select(F.concat(F.lit("card_from_"), "id").alias("id"), "title", "body", F.nullif("url", F.lit("")).alias("url"))

@@ -16,6 +16,7 @@ from cardloom.plans import query as Q
 from cardloom.plans import rank as R
 from cardloom.sources import feeds, files
 from cardloom.streaming.ingest import ArticleStore, collected, ingest
+from cardloom.streaming.jobs import JobLog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 BASE = ["documents", "labels", "pages", "benchmark", "events", "conversations"]
@@ -202,3 +203,35 @@ def test_collection_goes_on_without_a_failing_source(spark, tmp_path):
 def test_exports(spark, tmp_path):
     files.export_json(str(tmp_path / "x"), cards=spark.createDataFrame([("1", "t")], "id string, title string"))
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "x" / "cards")).collect()] == [("1", "t")]
+
+
+def test_replaced_table_is_whole_or_old(spark, tmp_path):
+    df = lambda *rows: spark.createDataFrame(list(rows), "card_id string, tag string")
+    store = ArticleStore(spark, str(tmp_path / "t"), df(("x", "x")).schema)
+    for rows in ([("1", "a"), ("2", "b")], [("3", "c")], [("1", "d")]):
+        store.replace(df(*rows))
+    (tmp_path / "t" / "v9-abc-0").mkdir()  # a writer that was lost
+    assert [tuple(r) for r in store.read().collect()] == [("1", "d")]
+
+
+def test_job_log(spark, tmp_path):
+    log = JobLog(spark, str(tmp_path / "jobs"))
+    good, done = log.submit("sum", lambda: {"n": 3})
+    done.result(60)
+    bad, done = log.submit("sum", lambda: 1 / 0)
+    done.result(60)
+    log._append([("lost", "sum", "running", 1, None, None, None, None)])
+    JobLog(spark, str(tmp_path / "jobs")).recover()
+    got = {r.id: r for r in log.states().collect()}
+    assert (got[good].status, got[good].result_json, got[good].error) == ("succeeded", '{"n": 3}', None)
+    assert (got[bad].status, got[bad].error) == ("failed", "division by zero")
+    assert got["lost"].status == "failed" and len(got) == 3
+    assert [r.id for r in log.listed().collect()][:2] == [bad, good] and log.get(good).count() == 1
+
+
+def test_stored_articles(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id":" 1 ","title":"t","url":"u","published_at":"2024-02-03T01:00:00Z","tokens":["a","b"]},\n {"id":"2","title":" ","url":"u"}]', "utf-8")
+    kept, rejected = files.read_articles(spark, str(tmp_path / "a.json"), "2025-01-01")
+    r = kept.first()
+    assert (r.id, r.body, r.source_authority, str(r.published_on), r.doc_length) == ("1", "", 0.0, "2024-02-03", 2)
+    assert kept.count() == 1 and rejected.count() == 1
