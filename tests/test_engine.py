@@ -88,6 +88,44 @@ def test_dedup_against_brute_force(spark):
     assert D.deduplicated(docs, 1.0).count() == len(rows)
 
 
+def test_pairs_against_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    words = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) for _ in range(n))
+    rows = [("e1", "", ""), ("e2", "", "ab")]
+    for n, copies in [(k, 8) for k in (1, 3, 8, 20, 60, 90) for _ in range(4)] + [(700, 30)]:  # the last: sets of several size classes
+        base = words(n).split()
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randrange(n // 8 + 1)):
+                w[r.randrange(n)] = words(1)
+            rows.append((f"n{len(rows)}", " ".join(w[: r.choice([100, 110, 140, 170, 700])]) if n > 90 else "t", "" if n > 90 else " ".join(w)))
+    docs = spark.createDataFrame(rows, "id string, title string, body string")
+    texts = {i: f"{title} {body[:500]}" for i, title, body in rows}
+    sets = {i: frozenset(x[k : k + 5] for k in range(len(x) - 4)) for i, x in texts.items()}
+    named = {x: min(i for i in sets if sets[i] == x) for x in sets.values()}
+    copies = {(named[x], i): 1.0 for i, x in sets.items() if named[x] != i}
+    for threshold in (0.9, 0.8, 0.6, 0.3):
+        near = {(a, b): len(x & y) / len(x | y) for x, a in named.items() for y, b in named.items() if a < b and x and y}
+        expected = {k: j for k, j in near.items() if j >= threshold} | copies
+        assert {(x.a, x.b): x.jaccard for x in D.duplicates(docs, threshold, exact=True).collect()} == expected
+        assert {(x.a, x.b): x.jaccard for x in D.duplicates(docs, threshold).collect()}.items() <= expected.items()
+
+
+def stored(spark):
+    """Bytes of all checkpoints."""
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(folder) for x in names)
+
+
+@pytest.mark.parametrize("name", ["dup_pairs_exact"])
+def test_near_duplicates_store_less_than_their_input(spark, name):
+    before = stored(spark)
+    registry.QUERIES[name](spark, SF).count()
+    assert stored(spark) - before < os.path.getsize(f"{SF}/documents.parquet")
+
+
 def test_rank_pipeline_counts_what_stays(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta " * 4
     rows = [(f"c{i}", "t", text, 0.5) for i in range(30)] + [("a", "t", "alpha alone in another text", 0.5), ("b", "t", "nothing of the kind", 0.5)]
