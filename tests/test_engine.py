@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from cardloom import catalog, registry
 from cardloom.functions import text as T
 from cardloom.operators import dedup as D
+from cardloom.operators import evaluate as E
 from cardloom.plans import query as Q
 from cardloom.plans import rank as R
 from cardloom.sources import feeds, files
@@ -126,6 +127,12 @@ def test_near_duplicates_store_less_than_their_input(spark, name):
     assert stored(spark) - before < os.path.getsize(f"{SF}/documents.parquet")
 
 
+def test_a_query_without_hits_counts_as_zero(spark):
+    ranks = spark.createDataFrame([("v", "q1", "a", 1), ("v", "q2", "b", 1)], "variant string, query_id string, id string, rank int")
+    qrels = spark.createDataFrame([("q1", "a"), ("q2", "a")], "query_id string, id string")
+    assert E.variant_means(ranks, qrels).first().asDict() == {"variant": "v", "n": 2} | dict.fromkeys(E.GATES, 0.5)
+
+
 def test_rank_pipeline_counts_what_stays(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta " * 4
     rows = [(f"c{i}", "t", text, 0.5) for i in range(30)] + [("a", "t", "alpha alone in another text", 0.5), ("b", "t", "nothing of the kind", 0.5)]
