@@ -120,7 +120,7 @@ def stored(spark):
     return sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(folder) for x in names)
 
 
-@pytest.mark.parametrize("name", ["dup_pairs_exact", "rank_pipeline", "exact_dedup", "lsh_pairs", "lsh_dedup"])
+@pytest.mark.parametrize("name", ["dup_pairs_exact", "rank_pipeline", "exact_dedup", "lsh_pairs", "lsh_dedup", "dup_recall"])
 def test_near_duplicates_store_less_than_their_input(spark, name):
     before = stored(spark)
     registry.QUERIES[name](spark, SF).count()
