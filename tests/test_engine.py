@@ -114,6 +114,14 @@ def test_pairs_against_brute_force(spark):
         assert {(x.a, x.b): x.jaccard for x in D.duplicates(docs, threshold).collect()}.items() <= expected.items()
 
 
+def test_dedup_keeps_one_article_without_a_text(spark):
+    rows = [("a", None, None, 0.5), ("b", None, None, 0.9), ("c", "long enough", "text of c", None), ("d", "another title", "text of d", 0.5)]
+    docs = spark.createDataFrame(rows, "id string, title string, body string, source_authority double")
+    for exact in (False, True):
+        assert {x.id for x in D.deduplicated(docs, exact=exact).collect()} == {"a", "c", "d"}
+        assert {x.id for x in D.deduplicated(docs.unionByName(spark.createDataFrame([("z", "", "", 0.5)], docs.schema)), exact=exact).collect()} == {"c", "d", "z"}
+
+
 def stored(spark):
     """Bytes of all checkpoints."""
     folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
