@@ -2,7 +2,10 @@
 
 import math
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,6 +117,43 @@ def test_pairs_against_brute_force(spark):
         assert {(x.a, x.b): x.jaccard for x in D.duplicates(docs, threshold).collect()}.items() <= expected.items()
 
 
+def listed_part(sets, each, rows, pool):
+    """Packed rows of one part: sets of 450 hashes with random bitmaps, and so many signatures of pool for each."""
+    r, per = np.random.default_rng(0), sets // rows
+    columns = [[0] * rows, [0] * rows, [], [], [], [], []]
+    for i in range(rows):
+        own = (np.arange(i * per, (i + 1) * per), np.full(per, 450, np.int32), r.integers(0, 256, (per, 8 * D.WORDS), np.uint8), np.full(per, each, np.int32), r.integers(0, pool, per * each, np.uint32))
+        for x, held in zip(own, columns[2:], strict=True):
+            held.append(x.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["part", "c", "k", "n", "bits", "counts", "s"])
+
+
+def test_a_full_part_needs_little_memory():
+    part = listed_part(400_000, 5, 200, 1 << 20)
+    tracemalloc.start()
+    for _ in D._met(0.8, 27)(iter([part])):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 130e6
+
+
+def test_pairs_are_whole_whatever_is_held(monkeypatch):
+    def pairs():
+        found = [x for b in D._met(0.01, 3)(iter([listed_part(300, 30, 3, 400)])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        return {(block, *p) for block, *ends in found for p in zip(*(np.frombuffer(x, np.int64).tolist() for x in ends), strict=True)}
+
+    whole = pairs()
+    monkeypatch.setattr(D, "CHUNK", 64)
+    assert len(whole) > 30_000 and pairs() == whole
+
+
+def test_parts_are_bounded_by_signatures_and_bytes():
+    for signatures, sets in ((10**6, 10**5), (57 * 10**6, 440_000), (10**8, 800_000), (2 * 10**9, 15 * 10**6)):
+        each = signatures / D._parts(signatures, sets)
+        assert each <= D.PART and 4 * each + (12 + 8 * D.WORDS) * min(sets, each) <= D.ROOM
+
+
 def test_dedup_keeps_one_article_without_a_text(spark):
     rows = [("a", None, None, 0.5), ("b", None, None, 0.9), ("c", "long enough", "text of c", None), ("d", "another title", "text of d", 0.5)]
     docs = spark.createDataFrame(rows, "id string, title string, body string, source_authority double")
