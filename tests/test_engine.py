@@ -141,13 +141,27 @@ def test_a_full_part_needs_little_memory():
 def test_pairs_are_whole_whatever_is_held(monkeypatch):
     def pairs():
         found = [x for b in D._met(0.01, 3)(iter([listed_part(300, 30, 3, 400)])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        return {(block, *p) for block, *ends in found for p in zip(*(np.frombuffer(x, np.int64).tolist() for x in ends), strict=True)}
+        return {(block, *p) for block, n, *ends in found for p in zip(*(D._summed(x, n).tolist() for x in ends), strict=True)}
 
     whole = pairs()
     monkeypatch.setattr(D, "CHUNK", 64)
     assert len(whole) > 30_000 and pairs() == whole
 
 
+def test_near_copies_that_meet_in_every_part_are_held_once():
+    """1,500 near copies: each of 40 parts gives all their pairs."""
+    texts = pa.table({"k": np.arange(1500), "id": [f"n{i}" for i in range(1500)], "s": ["a text of its own " * 3 + f"{i:04}" for i in range(1500)]})
+    alike = listed_part(1500, 1, 1, 1).set_column(4, "bits", pa.array([bytes(1500 * 8 * D.WORDS)]))
+    parts = list(D._met(0.8, 1)(iter([alike]))) * 40
+    pairs = pa.Table.from_batches(parts)
+    assert pairs.nbytes < 40 * 1500 * 1499 // 2  # a byte a pair; it was 16
+    tracemalloc.start()
+    got = D._compared(0.5)(pairs, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 1500 * 1499 // 2 and most < 250e6
+
+
 def test_parts_are_bounded_by_signatures_and_bytes():
     for signatures, sets in ((10**6, 10**5), (57 * 10**6, 440_000), (10**8, 800_000), (2 * 10**9, 15 * 10**6)):
         each = signatures / D._parts(signatures, sets)
