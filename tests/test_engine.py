@@ -189,6 +189,26 @@ def test_near_duplicates_store_less_than_their_input(spark, name):
     assert stored(spark) - before < os.path.getsize(f"{SF}/documents.parquet")
 
 
+def near_copies(spark, groups, each):
+    """Groups of texts that differ in their first word, group by group in none of the orders of ids."""
+    import random
+
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(90)) for _ in range(groups)]
+    rows = [(f"d{(i * groups + g) * 7919 % 100_003:06}", "t", f"copy{i} {text}", 0.5 + i / 1000) for g, text in enumerate(texts) for i in range(each)]
+    return rows, spark.createDataFrame(rows, "id string, title string, body string, source_authority double").repartition(8)
+
+
+def test_near_copies_are_neighbours_by_number(spark):
+    """Else a text is sent to as many pairs of blocks as it has near copies."""
+    rows, docs = near_copies(spark, 60, 20)
+    number = {x.id: x.k for x in D.classes(docs)[0].collect()}
+    assert sorted(number.values()) == list(range(len(rows)))
+    by_group = [[number[i] for i, *_ in rows[g : g + 20]] for g in range(0, len(rows), 20)]
+    near = [abs(a - b) < 20 for group in by_group for a in group for b in group if a < b]
+    assert sum(near) > 0.75 * len(near)
+
+
 def test_a_query_without_hits_counts_as_zero(spark):
     ranks = spark.createDataFrame([("v", "q1", "a", 1), ("v", "q2", "b", 1)], "variant string, query_id string, id string, rank int")
     qrels = spark.createDataFrame([("q1", "a"), ("q2", "a")], "query_id string, id string")
