@@ -209,6 +209,13 @@ def test_near_copies_are_neighbours_by_number(spark):
     assert sum(near) > 0.75 * len(near)
 
 
+def test_edges_of_a_group_of_near_copies_are_stored_packed(spark):
+    rows, docs = near_copies(spark, 1, 600)
+    before = stored(spark)
+    assert D.deduplicated(docs).count() == 1
+    assert stored(spark) - before < 600 * 599 // 2 * 20  # 20 bytes a pair
+
+
 def test_a_query_without_hits_counts_as_zero(spark):
     ranks = spark.createDataFrame([("v", "q1", "a", 1), ("v", "q2", "b", 1)], "variant string, query_id string, id string, rank int")
     qrels = spark.createDataFrame([("q1", "a"), ("q2", "a")], "query_id string, id string")
