@@ -460,6 +460,30 @@ def test_neighbours_descend_until_nothing_changes(spark):
     assert graph.changed() < 0.005
 
 
+def test_neighbours_travel_to_their_part_once(spark, monkeypatch):
+    """The rounds are inside the tasks of the parts, and each query finds its neighbours in all of them."""
+    monkeypatch.setattr(neighbours, "PART", 700, raising=False)
+    monkeypatch.setattr(neighbours, "QUERIES", 60, raising=False)
+    x = np.random.default_rng(2).standard_normal((4000, 24)).astype(np.float32)
+    x[3000:3500] = x[17]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    spark.sparkContext.setJobGroup("neighbours", "")
+    got = neighbours.search_table(df, 40).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("neighbours"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60  # it was a few for each round
+    by = defaultdict(dict)
+    for g in got:
+        by[g.query_id][g.vec_id] = g.score
+    hits = 0
+    for q in range(0, 4000, 40):
+        d = np.cumsum((x.astype(float) - x[q].astype(float)) ** 2, axis=1)[:, -1] ** 0.5
+        assert len(by[q]) == 10 and all(s == d[v] for v, s in by[q].items())
+        d[q] = np.inf
+        hits += len(set(by[q]) & set(np.lexsort((np.arange(4000), d))[:10].tolist()))
+    assert hits >= 0.95 * 1000
+
+
 def test_near_copies_with_null_and_repeated_ids(spark):
     import corpus_pipeline as p
 
