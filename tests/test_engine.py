@@ -117,6 +117,21 @@ def test_pairs_against_brute_force(spark):
         assert {(x.a, x.b): x.jaccard for x in D.duplicates(docs, threshold).collect()}.items() <= expected.items()
 
 
+def test_different_texts_of_one_class_keep_their_links(spark):
+    head = "a head that all of them share, " * 20
+    rows = [("d", "t", head), ("b", "t", head + "one"), ("c", "t", head + "two"), ("c2", "t", head + "two"), ("a", "t", "so different " + head), ("a2", "T", "so different " + head), ("n1", None, None), ("n2", None, None), ("n3", "", ""), ("x", "t", "alone and like none of the others")]
+    docs = spark.createDataFrame(rows, "id string, title string, body string").repartition(4)
+    text = dict((i, (t, b)) for i, t, b in rows)
+    heads = {i: "" if t is None else f"{t} {b[:500]}".lower() for i, t, b in rows}
+    sets = {i: frozenset(x[k : k + 5] for k in range(len(x) - 4)) for i, x in heads.items()}
+    first = {i: min(j for j in text if text[j] == text[i]) for i in text}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0
+    some = sorted(set(first.values()))
+    expected = {(a, b): jaccard(a, b) for a in some for b in some if a < b and jaccard(a, b) >= 0.6} | {(first[i], i): 1.0 for i in text if first[i] != i}
+    got = D.duplicates(docs, 0.6, exact=True).collect()
+    assert len(got) == len(expected) == 13 and {(x.a, x.b): x.jaccard for x in got} == expected
+
+
 def listed_part(sets, each, rows, pool):
     """Packed rows of one part: sets of 450 hashes with random bitmaps, and so many signatures of pool for each."""
     r, per = np.random.default_rng(0), sets // rows
